@@ -6,12 +6,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievelake.llm.common import documents
+from sievelake.llm.common import documents, scratch_path
 from sievelake.llm.exact_dedup import exact_dedup
+from sievelake.llm.numpy_bpe import encoded_digests
+from sievelake.llm.packing import pack
+from sievelake.llm.token_files import read_token_files, token_digests, write_token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+END_ID = 2
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    to = scratch_path(spark, "token-files")
+    write_token_files(documents(spark, sf_dir), to, tokenizer_path("word_bpe_49k.json"), END_ID)
+    return token_digests(read_token_files(spark, to))
+
+
+def op5_linear_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), END_ID)
+
+
+def op10_numpy_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_digests(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+
+
 def op8_patricia_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -25,7 +51,7 @@ FROM d WINDOW w AS (PARTITION BY t)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op8_patricia_exact_dedup,)}
+    return {f.__name__: f for f in (op3_token_files, op5_linear_grouping_packing, op8_patricia_exact_dedup, op10_numpy_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
