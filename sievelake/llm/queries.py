@@ -5,11 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sievelake.llm.byte_cnn import fit_quality_cnn, score_quality
 from sievelake.llm.common import documents, scratch_path
 from sievelake.llm.exact_dedup import exact_dedup
+from sievelake.llm.labelled import id_crc
+from sievelake.llm.language_id import fit_languages, language_id
+from sievelake.llm.license_scan import license_scan, license_sql
 from sievelake.llm.numpy_bpe import encoded_digests
 from sievelake.llm.packing import pack
+from sievelake.llm.quality_rules import quality_rules
 from sievelake.llm.token_files import read_token_files, token_digests, write_token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +30,27 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_sentence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(documents(spark, sf_dir))
+
+
+def op2_ecoc_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = id_crc(F.col("doc_id")) % 4 == 2
+    told = language_id(docs, fit_languages(docs, ~F.coalesce(held_out, F.lit(False))))
+    return told.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op4_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    net = fit_quality_cnn(docs, labels, id_crc(F.col("labelled")) % 3 != 1)
+    return score_quality(docs, net).select("doc_id", F.coalesce(id_crc(F.col("doc_id")) % 3 == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op9_gbt_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     to = scratch_path(spark, "token-files")
     write_token_files(documents(spark, sf_dir), to, tokenizer_path("word_bpe_49k.json"), END_ID)
@@ -50,9 +77,15 @@ FROM d WINDOW w AS (PARTITION BY t)
 """
 
 
+_QUERIES = (
+    op1_license_sentence_rules, op2_ecoc_language_id, op3_token_files, op4_byte_cnn_quality, op5_linear_grouping_packing,
+    op8_patricia_exact_dedup, op9_gbt_quality_rules, op10_numpy_bpe,
+)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_token_files, op5_linear_grouping_packing, op8_patricia_exact_dedup, op10_numpy_bpe)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_patricia_exact_dedup": OP8_SQL}
+    return {"op1_license_sentence_rules": license_sql(), "op8_patricia_exact_dedup": OP8_SQL}
