@@ -13,6 +13,7 @@ from sievelake.llm.exact_dedup import exact_dedup
 from sievelake.llm.labelled import id_crc
 from sievelake.llm.language_id import fit_languages, language_id
 from sievelake.llm.license_scan import license_scan, license_sql
+from sievelake.llm.minhash import near_duplicates
 from sievelake.llm.numpy_bpe import encoded_digests
 from sievelake.llm.packing import pack
 from sievelake.llm.quality_rules import quality_rules
@@ -65,6 +66,27 @@ def op10_numpy_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded_digests(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_odd_sketch_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), words=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])
+                                      WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+both_ways AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, b.y FROM r JOIN both_ways b ON r.y = b.x),
+c AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d JOIN c ON c.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+
 def op8_patricia_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -79,7 +101,7 @@ FROM d WINDOW w AS (PARTITION BY t)
 
 _QUERIES = (
     op1_license_sentence_rules, op2_ecoc_language_id, op3_token_files, op4_byte_cnn_quality, op5_linear_grouping_packing,
-    op8_patricia_exact_dedup, op9_gbt_quality_rules, op10_numpy_bpe,
+    op6_odd_sketch_minhash, op8_patricia_exact_dedup, op9_gbt_quality_rules, op10_numpy_bpe,
 )
 
 
@@ -88,4 +110,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_sentence_rules": license_sql(), "op8_patricia_exact_dedup": OP8_SQL}
+    return {"op1_license_sentence_rules": license_sql(), "op6_odd_sketch_minhash": OP6_SQL, "op8_patricia_exact_dedup": OP8_SQL}
