@@ -10,6 +10,7 @@ new pieces are encoded.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Callable
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 
 from sievelake.llm.common import BYTE_CODES, flat, prefix_hash, single_threaded, span_hash
 
-CACHE_PIECES = 1_200_000  # at most in a Python worker, some 50 bytes each; later ones are encoded anew in each batch
+CACHE_PIECES = 600_000  # at most in a Python worker, some 50 bytes each; later ones are encoded anew in each batch
 TOGETHER = 500  # words in one string for the library
 
 #: A list of pieces -> ids end to end, and of each piece where its ids start and how many they are.
@@ -50,15 +51,18 @@ def library_encoder(path: str) -> Encode:
         sizes = np.zeros(len(pieces), np.int64)
         ids: list[np.ndarray] = []
         runs = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
-        for run, x in zip(runs, tokenizer.encode_batch(["".join([pieces[i] for i in run]) for run in runs], add_special_tokens=False), strict=True):
+        for run in runs:
+            x = tokenizer.encode("".join([pieces[i] for i in run]), add_special_tokens=False)
             counts = np.bincount(np.array(x.word_ids, np.int64), minlength=len(run))
             if len(counts) != len(run) or not counts.all():
                 raise RuntimeError("this tokenizer doesn't keep plain words apart")
             sizes[run] = counts
             ids.append(np.array(x.ids, np.uint32))
-        for i, x in zip(others, tokenizer.encode_batch_fast([pieces[i] for i in others], add_special_tokens=False), strict=True):
-            ids.append(np.array(x.ids, np.uint32))
-            sizes[i] = len(ids[-1])
+        for k in range(0, len(others), TOGETHER):  # few at a time: what the library gives beside the ids takes much memory
+            run = others[k : k + TOGETHER]
+            found = [x.ids for x in tokenizer.encode_batch_fast([pieces[i] for i in run], add_special_tokens=False)]
+            sizes[run] = [len(x) for x in found]
+            ids.append(np.fromiter(itertools.chain.from_iterable(found), np.uint32))
         order = np.array([*words, *others], np.int64)
         starts = np.zeros(len(pieces), np.int64)
         starts[order] = np.cumsum(sizes[order]) - sizes[order]

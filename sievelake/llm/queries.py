@@ -17,6 +17,7 @@ from sievelake.llm.minhash import near_duplicates
 from sievelake.llm.numpy_bpe import encoded_digests
 from sievelake.llm.packing import pack
 from sievelake.llm.quality_rules import quality_rules
+from sievelake.llm.suffix_dedup import repeat_digests
 from sievelake.llm.token_files import read_token_files, token_digests, write_token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +88,10 @@ FROM documents d JOIN c ON c.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_i
 """
 
 
+def op7_two_stage_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digests(documents(spark, sf_dir), size=400)
+
+
 def op8_patricia_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -101,7 +106,7 @@ FROM d WINDOW w AS (PARTITION BY t)
 
 _QUERIES = (
     op1_license_sentence_rules, op2_ecoc_language_id, op3_token_files, op4_byte_cnn_quality, op5_linear_grouping_packing,
-    op6_odd_sketch_minhash, op8_patricia_exact_dedup, op9_gbt_quality_rules, op10_numpy_bpe,
+    op6_odd_sketch_minhash, op7_two_stage_suffix_dedup, op8_patricia_exact_dedup, op9_gbt_quality_rules, op10_numpy_bpe,
 )
 
 
