@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_BYTES = 8 << 20  # of one Arrow batch that goes to Python; a single longer row still passes
@@ -68,6 +68,11 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"), *[docs[c] for c in more])
 
 
+def row_key(doc_id: Column, body: Column) -> Column:
+    """16 bytes that stand for an id and a text's bytes."""
+    return F.unhex(F.substring(F.sha2(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"), F.lit("|").cast("binary"), body), 256), 1, 32))
+
+
 def single_threaded() -> None:
     """Native libraries in a Python worker use the task's one core."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

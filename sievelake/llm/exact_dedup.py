@@ -196,3 +196,12 @@ def exact_dedup(docs: DataFrame, smallest: bool = False) -> DataFrame:
     number = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
     each = joined.select("doc_id", "keep_id", "group_size", stays.alias("stays"), "digest", number.alias("copy"))
     return each.select("doc_id", "keep_id", "group_size", (F.col("stays") & (F.col("copy") == 1)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def keep_distinct(docs: DataFrame, smallest: bool = False) -> DataFrame:
+    """The rows of `docs`, all columns as they are, that exact_dedup() keeps: one for each distinct text."""
+    digest, stays, keeper, keep_id = "sievelake digest", "sievelake id", "sievelake keeper", "sievelake keep_id"
+    rows = docs.withColumn(digest, F.unhex(F.sha2(F.coalesce(docs["text"], F.lit("")), 256))).withColumn(stays, docs["doc_id"].cast("long"))
+    groups = owners(docs, smallest).select(F.col("digest").alias(keeper), F.col("keep_id").alias(keep_id))
+    kept = rows.join(groups, (F.col(digest) == F.col(keeper)) & F.col(stays).eqNullSafe(F.col(keep_id)), "left_semi")
+    return kept.dropDuplicates([digest, stays]).select(*[kept[f"`{c}`"] for c in docs.columns])

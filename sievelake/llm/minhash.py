@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import BYTE_CODES, bounded_batches, checkpointed, flat, mix64, prefix_hash, slices, span_hash, texts, word_spans
+from sievelake.llm.common import BYTE_CODES, bounded_batches, checkpointed, flat, mix64, prefix_hash, row_key, slices, span_hash, texts, word_spans
 from sievelake.llm.components import components
 
 SAMPLES, ROWS, BANDS = 128, 4, 24  # MinHash samples; of them in a band; bands
@@ -124,7 +124,7 @@ def _signatures(words: int):
             h, at = shingle_sets(*flat(b.column("text")), words)
             samples = minhash_samples(h, at)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * BANDS), pa.array(band_hashes(samples).ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(at)), fixed_binary(class_keys(h, at)), fixed_binary(odd_sketches(samples)), bands], ["doc_id", "n_shingles", "cls", "sketch", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(np.diff(at)), fixed_binary(class_keys(h, at)), fixed_binary(odd_sketches(samples)), bands], ["doc_id", "key", "n_shingles", "cls", "sketch", "bands"])
 
     return run
 
@@ -269,13 +269,34 @@ NO_ID = -(1 << 63)  # stands for null in joins
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One row for each row of `docs`: doc_id, n_shingles, component_id, kept, cls (the class of its shingle set).
+    """One row for each row of `docs`: doc_id, n_shingles, component_id, kept.
 
     Links documents whose sets of shingles of `words` words are similar by `percent` or more.
     """
+    return _components(docs, words, percent).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs`, all columns as they are, but of each component only the row with the least id (then key).
+
+    Rows equal in id and text stay or go together.
+    """
+    own, other = "sievelake key", "sievelake gone"
+    rows = docs.withColumn(own, row_key(docs["doc_id"].cast("long"), F.coalesce(docs["text"], F.lit("")).cast("binary")))
+    found = _components(docs, words, percent).filter("n_shingles > 0")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    first = found.groupBy("root").agg(F.min(order).alias("first")).select(F.col("root").alias("of"), F.col("first.key").alias("keeper"))
+    # only components with several keys lose rows, so the others need no join
+    several = found.groupBy("root").agg((F.min("key") < F.max("key")).alias("several")).filter("several").select("root")
+    gone = found.join(several, "root", "left_semi").join(first, F.col("root") == F.col("of")).filter("key <> keeper").select(F.col("key").alias(other))
+    return rows.join(gone, F.col(own) == F.col(other), "left_anti").select(*[rows[f"`{c}`"] for c in docs.columns])
+
+
+def _components(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, key (of id and text), n_shingles, component_id, root (the component's name; null without shingles) of each row."""
     bounded_batches(docs.sparkSession)
-    signed = texts(docs).mapInArrow(_signatures(words), "doc_id long, n_shingles long, cls binary, sketch binary, bands array<long>")
-    signed = checkpointed(signed)
+    named = texts(docs).withColumn("key", row_key(F.col("doc_id"), F.col("text").cast("binary")))
+    signed = checkpointed(named.mapInArrow(_signatures(words), "doc_id long, key binary, n_shingles long, cls binary, sketch binary, bands array<long>"))
     classes = checkpointed(signed.filter("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n"), F.any_value("sketch").alias("sketch"), F.any_value("bands").alias("bands")))
 
     # buckets with more than one class
@@ -298,7 +319,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     ids = linked.join(classes.select("cls", "first_id"), F.col("node") == F.col("cls")).select("cls", "root", "first_id")
     roots = ids.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    told = classes.select("cls", "first_id").join(ids.select("cls", "root"), "cls", "left").join(roots, "root", "left").select("cls", F.coalesce("component_id", "first_id").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "cls").join(told, "cls", "left")
+    told = classes.select("cls", "first_id").join(ids.select("cls", "root"), "cls", "left").join(roots, "root", "left").select("cls", F.coalesce("root", "cls").alias("root"), F.coalesce("component_id", "first_id").alias("component_id"))
+    out = signed.select("doc_id", "key", "n_shingles", "cls").join(told, "cls", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "cls")
+    return out.select("doc_id", "key", "n_shingles", component.alias("component_id"), "root")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import BYTE_CODES, bounded_batches, checkpointed, flat, prefix_hash, remove_path, scratch_path, slices, span_hash, texts
+from sievelake.llm.common import BYTE_CODES, bounded_batches, checkpointed, flat, prefix_hash, remove_path, row_key, scratch_path, slices, span_hash, texts
 from sievelake.llm.minhash import whole_groups
 
 GRAM = 32
@@ -308,11 +308,6 @@ def keyed(docs: DataFrame) -> DataFrame:
     return rows.withColumn("key", row_key(F.col("doc_id"), F.col("body")))
 
 
-def row_key(doc_id, body):  # noqa: ANN001, ANN201
-    """16 bytes that stand for an id and a text."""
-    return F.unhex(F.substring(F.sha2(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"), F.lit("|").cast("binary"), body), 256), 1, 32))
-
-
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
     """Sorted spans as maximal runs."""
     out: list[tuple[int, int]] = []
@@ -345,3 +340,36 @@ def repeat_digests(docs: DataFrame, size: int = 400) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row."""
     rows = keyed(docs).join(repeats(docs, size), "key", "left").select("doc_id", "body", "spans")
     return rows.mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def cut_repeats(docs: DataFrame, size: int = 400) -> DataFrame:
+    """`docs` with repeats cut out of text, and n_chars (if there is such a column) as the new text's length.
+
+    Spans are of bytes; of a character that is cut through, the rest goes too. Null texts stay null.
+    """
+    own, other = "sievelake key", "sievelake spans of"
+    rows = docs.withColumn(own, row_key(docs["doc_id"].cast("long"), F.coalesce(docs["text"], F.lit("")).cast("binary")))
+    found = repeats(docs, size).select(F.col("key").alias(other), F.col("spans").alias("sievelake spans"))
+    names, kind = docs.columns, docs.schema
+    lower = [n.lower() for n in names]
+    text, chars = lower.index("text"), lower.index("n_chars") if "n_chars" in lower else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans = b.column(len(names))
+            hit = np.flatnonzero(np.asarray(spans.is_valid().to_numpy(zero_copy_only=False)))
+            columns = [b.column(k) for k in range(len(names))]
+            if len(hit):
+                bodies = columns[text].to_pylist()
+                lengths = columns[chars].to_pylist() if chars is not None else []
+                for k in hit.tolist():
+                    bodies[k] = kept_bytes(bodies[k].encode(), merged(spans[k].as_py())).decode(errors="ignore")
+                    if chars is not None:
+                        lengths[k] = len(bodies[k])
+                columns[text] = pa.array(bodies, columns[text].type)
+                if chars is not None:
+                    columns[chars] = pa.array(lengths, columns[chars].type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    joined = rows.join(found, F.col(own) == F.col(other), "left")
+    return joined.select(*[rows[f"`{c}`"] for c in names], "sievelake spans").mapInArrow(run, kind)
