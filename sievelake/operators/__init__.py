@@ -1,0 +1 @@
+"""Sketches and graph algorithms over DataFrames."""

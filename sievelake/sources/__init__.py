@@ -1,0 +1 @@
+"""Where stores are kept."""

@@ -1,0 +1 @@
+"""Feeding a store from a stream."""
