@@ -1,0 +1,177 @@
+from __future__ import annotations
+
+import hashlib
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from sievelake.llm import packing
+from sievelake.llm.encoding import PieceEncoder, library_encoder
+from sievelake.llm.numpy_bpe import NumpyBpe, decode, encoded, encoded_digests, token_table
+from sievelake.llm.packing import pack, plan_packing, sequences
+from sievelake.llm.token_files import read_token_files, token_digests, write_token_files
+
+tokenizers = pytest.importorskip("tokenizers")
+P = pytest.importorskip("public_tokenizers")
+WORD, BYTE = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.json")
+HARD = list("aabb  's'tD'RE\n\t<|>!?.,09éßΣς́İıſK") + ["<|endoftext|>", "<|startoftext|>", " ", "½", "日本", "한", "\U0001f600", "\x00", "\x85", "Ᲊ"]
+
+
+def library(path):
+    return tokenizers.Tokenizer.from_file(path)
+
+
+def raw(ids):
+    return np.array(ids, "<u4").tobytes()
+
+
+@pytest.mark.parametrize("path,kind", [(WORD, "library"), (WORD, "numpy"), (BYTE, "library")])
+def test_pieces_give_the_ids_of_whole_texts(path, kind, rows):
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choices(HARD, k=rnd.randint(0, 40))) for _ in range(4000)] + [r[1] or "" for r in rows]
+    enc = PieceEncoder(library_encoder(path) if kind == "library" else NumpyBpe(path).encode)
+    for at in range(0, len(texts), 500):
+        part = texts[at : at + 500]
+        ids, offsets = enc.rows(pa.array(part, pa.string()))
+        want = [x.ids for x in library(path).encode_batch(part, add_special_tokens=False)]
+        assert [ids[i:j].tolist() for i, j in zip(offsets[:-1], offsets[1:], strict=True)] == want
+
+
+def test_full_cache_changes_nothing(monkeypatch):
+    import sievelake.llm.encoding as e
+
+    monkeypatch.setattr(e, "CACHE_PIECES", 5)
+    enc = PieceEncoder(library_encoder(BYTE))
+    for text in ("one two three four five six seven", "seven six five one nine", "one"):
+        assert enc.rows(pa.array([text]))[0].tolist() == library(BYTE).encode(text, add_special_tokens=False).ids
+
+
+@given(st.text(max_size=40))
+@settings(max_examples=300, deadline=None)
+def test_numpy_bpe_is_the_library(text):
+    bpe, lib = _bpe(), _lib()
+    ids, starts, sizes = bpe.encode([text])
+    want = lib.encode(text, add_special_tokens=False).ids
+    assert ids[starts[0] : starts[0] + sizes[0]].tolist() == want
+    assert decode(token_table(WORD), np.array(want, np.int64)).decode() == lib.decode(want, skip_special_tokens=False)
+
+
+_made: dict = {}
+
+
+def _bpe():
+    return _made.setdefault("bpe", NumpyBpe(WORD))
+
+
+def _lib():
+    return _made.setdefault("lib", library(WORD))
+
+
+def test_one_merge_a_round_gives_the_same():
+    bpe = NumpyBpe(WORD)
+    words = [w.encode() for w in ("aaaaaaa", "internationalization", "hello", "ananas", "!!!!!!!!!")]
+    a = bpe.merge(words)
+    bpe.at_once = False
+    b = bpe.merge(words)
+    assert a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist()
+
+
+def test_encoded(docs, rows, empty):
+    lib, want = _lib(), Counter()
+    for r in rows:
+        ids = lib.encode(r[1] or "", add_special_tokens=False).ids
+        want[r[0], len(ids), hashlib.sha256(raw(ids)).hexdigest(), hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += 1
+    assert Counter(map(tuple, encoded_digests(docs, WORD).collect())) == want
+    assert encoded(docs, WORD).select(F.sum(F.size("ids"))).first()[0] == sum(k[1] * n for k, n in want.items())
+    assert encoded_digests(empty, WORD).count() == 0
+
+
+def test_token_files(spark, docs, rows, tmp_path):
+    to = str(tmp_path / "files")
+    write_token_files(docs, to, WORD, 2)
+    lib, want, at = _lib(), [], 0
+    for r in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        ids = [*lib.encode(r[1] or "", add_special_tokens=False).ids, 2]
+        want.append((r[0], at, len(ids), zlib.crc32(raw(ids))))
+        at += len(ids)
+    got = [tuple(r) for r in token_digests(read_token_files(spark, to)).orderBy("start").collect()]
+    assert got == want
+    some = read_token_files(spark, to, ["doc_id", "n_tokens"], F.col("doc_id").between(5, 9))
+    assert Counter(map(tuple, some.collect())) == Counter((w[0], w[2]) for w in want if w[0] is not None and 5 <= w[0] <= 9)
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "ids" not in plan.split("ReadSchema:")[1].splitlines()[0] and "GreaterThanOrEqual(doc_id,5)" in plan
+
+
+def test_file_format(spark, docs, tmp_path):
+    import pyarrow.parquet as pq
+
+    to = tmp_path / "files"
+    write_token_files(docs, str(to), WORD, 2)
+    for f in to.glob("*.parquet"):
+        group = pq.ParquetFile(f).metadata.row_group(0)
+        kinds = {group.column(k).path_in_schema: group.column(k) for k in range(group.num_columns)}
+        ids = next(v for k, v in kinds.items() if k.startswith("ids"))
+        assert "RLE_DICTIONARY" in ids.encodings
+        assert "DELTA_BINARY_PACKED" in kinds["local_start"].encodings
+        assert all(c.has_column_index and c.has_offset_index for k, c in kinds.items() if not k.startswith("ids"))
+
+
+def test_empty_token_files(spark, empty, tmp_path):
+    write_token_files(empty, str(tmp_path / "none"), WORD, 2)
+    assert token_digests(read_token_files(spark, str(tmp_path / "none"))).count() == 0
+
+
+@given(st.lists(st.integers(1, 64), max_size=200))
+@settings(max_examples=150, deadline=None)
+def test_plans_are_sound(lengths):
+    counts = np.bincount(np.array(lengths, int), minlength=65)
+    plan = plan_packing(counts)
+    seen, sequence = np.zeros(65, int), {}
+    for length, rank, n, first, offset in plan.runs:
+        assert rank == seen[length]
+        seen[length] += n
+        for k in range(n):
+            sequence.setdefault(first + k, []).append((offset, length))
+    assert (seen == counts).all() and len(sequence) == plan.opened
+    for parts in sequence.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 64
+    big = sum(x > 32 for x in lengths)
+    assert plan.opened <= max(big, -(-2 * sum(lengths) // 64) + 1)
+
+
+def test_plan_is_tight():
+    rng = np.random.default_rng(0)
+    for lengths in (rng.integers(1, 1025, 50_000), (rng.lognormal(6, 1, 50_000).astype(int) % 1024) + 1):
+        plan = plan_packing(np.bincount(lengths, minlength=1025))
+        assert plan.opened <= 1.005 * lengths.sum() / 1024
+
+
+def test_pack(docs, rows, empty):
+    lib, want = library(BYTE), Counter()
+    for r in rows:
+        ids = [*lib.encode(r[1] or "", add_special_tokens=False).ids, 2]
+        n = -(-len(ids) // 256)
+        head = len(ids) - (n - 1) * 256
+        for k in range(n):
+            start, size = (0, head) if k == 0 else (head + (k - 1) * 256, 256)
+            want[r[0], k, start, size, zlib.crc32(raw(ids[start : start + size]))] += 1
+    packed = pack(docs, BYTE, 2, capacity=256, with_ids=True)
+    got = packed.collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+    full = {r["sequence_id"]: r["ids"] for r in sequences(packed).collect()}
+    for r in got:
+        assert full[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]] == r["ids"]
+    assert sum(map(len, full.values())) == sum(k[3] * n for k, n in want.items()) and max(map(len, full.values())) <= 256
+    assert pack(empty, BYTE, 2).count() == 0
+    assert packing.SETTINGS
