@@ -59,11 +59,11 @@ class GraphStore:
         self._merge(new.groupBy("src", "dst", "label").agg(F.max("weight").alias("weight")))
 
     def _merge(self, new: DataFrame) -> None:
-        old = self.edges()
-        self._added.clear()
-        if self._base is not None:
+        if self._base is not None or self._added:
+            old = self.edges()
             both = old.withColumn("turn", F.lit(0)).unionByName(new.withColumn("turn", F.lit(1)))
             new = both.groupBy("src", "dst", "label").agg(F.max_by("weight", "turn").alias("weight"))
+        self._added.clear()
         self._base = new
         self._asked = False
 

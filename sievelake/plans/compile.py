@@ -58,7 +58,7 @@ def column(name: str) -> Column:
 def _variant(c: Column, of: str, kind: str) -> Column:
     """A variant's value where it is of the wanted family, else null. The guard keeps Spark from casting '7' to 7."""
     told = F.schema_of_variant(c)
-    good = {"num": told.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)"), "str": told == "STRING", "list": told.startswith("ARRAY")}[of]
+    good = {"num": told.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)"), "str": told == "STRING", "list": told.startswith("ARRAY"), "numbers": told.rlike("^ARRAY<(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL[^>]*)>$"), "strings": told == "ARRAY<STRING>"}[of]
     return F.when(good, F.try_variant_get(c, "$", kind))
 
 
@@ -100,6 +100,9 @@ def _equal_sides(shape: Shape, p: Predicate) -> tuple[Column, Column] | None:
     if inner == "variant":
         if of in ("int", "float"):
             return _variant(c, "num", "double"), F.lit(float(value))
+        if of == "list" and value and (literal := _list_literal(value, T.DoubleType() if family(value[0]) in ("int", "float") else T.StringType())) is not None:
+            numbers = family(value[0]) in ("int", "float")
+            return _variant(c, "numbers" if numbers else "strings", "array<double>" if numbers else "array<string>"), literal
         return (_variant(c, "str", "string"), F.lit(value)) if of == "str" else None
     if inner == "int" and of == "float":
         if math.isinf(value) or value != int(value):

@@ -57,15 +57,18 @@ def rows_frame(spark: SparkSession, rows: list[tuple[int, Mapping[str, Any]]]) -
     for _, attrs in rows:
         for k, v in attrs.items():
             families.setdefault(k, set()).add(_signature(v))
-    mixed = {k for k, fs in families.items() if len(fs) > 1}
+    mixed = {k for k, fs in families.items() if len(fs - {("list",)}) > 1 or ("list",) in fs and any(f[0] != "list" for f in fs)}
     for i, attrs in rows:
         shapes.setdefault(tuple(sorted((k, str(_signature(v))) for k, v in attrs.items() if k in mixed)), []).append((i, attrs))
     parts = []
     for group in shapes.values():
         names: dict[str, T.DataType] = {}
+        empty: set[str] = set()
         for _, attrs in group:
             for k, v in attrs.items():
-                names.setdefault(k, _kind(v))
+                if k not in names or k in empty:  # an empty list takes the type of the others
+                    names[k] = _kind(v)
+                (empty.add if v in ([], ()) else empty.discard)(k)
         schema = T.StructType([T.StructField(ID, T.LongType(), False), *(T.StructField(k, t) for k, t in names.items())])
         parts.append(spark.createDataFrame([(i, *(_plain(a.get(k)) for k in names)) for i, a in group], schema))
     return merged(parts)
@@ -73,7 +76,7 @@ def rows_frame(spark: SparkSession, rows: list[tuple[int, Mapping[str, Any]]]) -
 
 def _signature(v: Any) -> Any:
     f = family(v)
-    return (f, *sorted({str(_signature(x)) for x in v})) if f == "list" else f
+    return (f, *sorted({str(_signature(x)) for x in v})) if f == "list" else (f,)
 
 
 def _kind(v: Any) -> T.DataType:
