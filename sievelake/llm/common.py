@@ -6,6 +6,8 @@ columns with clashing names never reach its plan.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -52,6 +54,16 @@ def remove_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of what has been written: it does when the driver's JVM collects its garbage.
+
+    Spark's listeners hold on to the last query that ran, so an empty one goes first.
+    """
+    gc.collect()
+    spark.range(1).count()
+    spark.sparkContext._jvm.System.gc()
+
+
 def likely_partitions(df: DataFrame) -> int:
     """About how many tasks read `df`, from the optimizer's size estimate; runs nothing."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -91,8 +103,23 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8))[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+#: What a Python worker keeps over tasks. Tasks of other operators drop it.
+worker_keeps: dict = {}
+
+
+def drop_kept() -> None:
+    if worker_keeps:
+        worker_keeps.clear()
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)  # else the freed memory stays with the worker
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20, keeps: bool = False) -> Iterator[pa.RecordBatch]:
     """Cut batches into runs of rows with at most `most` bytes in `column` (one row at least): bounds numpy's working memory."""
+    if not keeps:
+        drop_kept()
     for batch in batches:
         if batch.num_rows == 0:
             continue

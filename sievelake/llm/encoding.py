@@ -17,7 +17,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 
-from sievelake.llm.common import BYTE_CODES, flat, prefix_hash, single_threaded, span_hash
+from sievelake.llm.common import BYTE_CODES, drop_kept, flat, prefix_hash, single_threaded, span_hash, worker_keeps
 
 CACHE_PIECES = 600_000  # at most in a Python worker, some 50 bytes each; later ones are encoded anew in each batch
 TOGETHER = 500  # words in one string for the library
@@ -168,19 +168,16 @@ class PieceEncoder:
         return out, row_at
 
 
-_encoders: dict[tuple[str, str], PieceEncoder] = {}
-
-
 def encoder(path: str, kind: str = "library") -> PieceEncoder:
     """This Python worker's encoder for a tokenizer file, kept over tasks. kind: library or numpy."""
     key = (path, kind)
-    if key not in _encoders:
+    if key not in worker_keeps:
+        drop_kept()
         if kind == "library":
             encode = library_encoder(path)
         else:
             from sievelake.llm.numpy_bpe import NumpyBpe
 
             encode = NumpyBpe(path).encode
-        _encoders.clear()
-        _encoders[key] = PieceEncoder(encode)
-    return _encoders[key]
+        worker_keeps[key] = PieceEncoder(encode)
+    return worker_keeps[key]

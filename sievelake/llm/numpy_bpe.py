@@ -183,7 +183,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, table = encoder(path, "numpy"), token_table(path)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 2 << 20, keeps=True):
             ids, at = enc.rows(b.column("text"))
             back = [decode(table, ids[i:j]).decode() for i, j in zip(at[:-1], at[1:], strict=True)]
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
@@ -198,7 +198,7 @@ def encoded_digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, table = encoder(path, "numpy"), token_table(path)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 2 << 20, keeps=True):
             ids, at = enc.rows(b.column("text"))
             ids = ids.astype("<u4")
             of = [ids[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]

@@ -214,7 +214,7 @@ def _pieces(path: str, end_id: int, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, slot = encoder(path), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for b in slices(batches, "text", 4 << 20):
+        for b in slices(batches, "text", 2 << 20, keeps=True):
             ids, at = enc.rows(b.column("text"))
             ids = np.insert(ids, at[1:], end_id).astype("<u4")
             at = at + np.arange(len(at))

@@ -150,15 +150,15 @@ def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns as they are, that the rules keep."""
     bounded_batches(docs.sparkSession)
     forest = fit_quality(docs, labels)
-    names = docs.columns
-    at = [n.lower() for n in names].index("text")
+    at = [n.lower() for n in docs.columns].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             if not whole.num_rows:
                 continue
-            text = whole.column(at).fill_null("")
-            keep = [judged(part.column("text"), forest)[3] for part in slices(iter([pa.RecordBatch.from_arrays([text], ["text"])]), "text")]
+            text = pa.RecordBatch.from_arrays([whole.column(at).fill_null("")], ["text"])
+            keep = [judged(part.column("text"), forest)[3] for part in slices(iter([text]), "text")]
             yield whole.filter(pa.array(np.concatenate(keep)))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # mapInArrow doesn't take every name
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -33,7 +33,7 @@ def _encode(path: str, end_id: int):
         from sievelake.llm.encoding import encoder
 
         enc, shard, before = encoder(path), TaskContext.get().partitionId(), 0
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 2 << 20, keeps=True):
             ids, at = enc.rows(b.column("text"))
             ends = at[1:]
             ids = np.insert(ids, ends, end_id)
