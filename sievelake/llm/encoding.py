@@ -1,8 +1,9 @@
 """Encode whole texts with a public tokenizer, each distinct piece of text once.
 
-A text may be cut before a space or line feed that follows a printable ASCII character, and before one of
-`.,;:!?` that follows an ASCII letter: the tokenizers used here never let a token, a pre-token, a special
-token or a normalization step reach over such a place, so the ids of a text are those of its pieces in order.
+A text may be cut before a space or line feed that follows a printable ASCII or a Latin-1 letter, and before
+an ASCII punctuation mark or sign (but ' < | >) that follows such a letter: the tokenizers used here never let
+a token, a pre-token, a special token or a normalization step reach over such a place, so the ids of a text are
+those of its pieces in order.
 Pieces are found in the flat byte buffer and counted as an Arrow dictionary. A Python worker keeps the ids
 of pieces that it has met in flat arrays, looked up by a 64-bit hash and then compared byte by byte; only
 new pieces are encoded.
@@ -30,13 +31,13 @@ CLASS[33:127] = 1
 CLASS[[*range(65, 91), *range(97, 123)]] = 3
 CUT_BEFORE = np.zeros(256, np.uint8)
 CUT_BEFORE[[32, 10]] = 1
-CUT_BEFORE[list(b".,;:!?")] = 2
+CUT_BEFORE[list(b'!"#$%&()*+,-./:;=?@[\\]^_`{}~')] = 2
 
-PLAIN = re.compile(" [A-Za-z]+")
+PLAIN = re.compile(" [A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 def library_encoder(path: str) -> Encode:
-    """Encodes by the tokenizers library. Plain words (a space and ASCII letters) go to it many in one string:
+    """Encodes by the tokenizers library. Plain words (a space and Latin letters) go to it many in one string:
     each is one pre-token of its own there, and the library tells which pre-token an id belongs to."""
     single_threaded()
     from tokenizers import Tokenizer
@@ -134,7 +135,10 @@ class PieceEncoder:
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         cut = np.zeros(len(data) + 1, bool)
-        cut[1:-1] = (CUT_BEFORE[data[1:]] & CLASS[data[:-1]]) != 0
+        after = CLASS[data]
+        after[1:][data[:-1] == 0xC3] = 3  # the second byte of a Latin-1 letter
+        after[1:][(data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))] = 1  # of a sign among them
+        cut[1:-1] = (CUT_BEFORE[data[1:]] & after[:-1]) != 0
         cut[offsets] = True
         bounds = np.flatnonzero(cut)
         pieces = pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data))
