@@ -28,12 +28,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sievelake.llm.common import BYTE_CODES, bounded_batches, checkpointed, flat, prefix_hash, remove_path, row_key, scratch_path, slices, span_hash, texts
+from sievelake.llm.common import BYTE_CODES, bounded_batches, checkpointed, flat, prefix_hash, release, remove_path, row_key, scratch_path, slices, span_hash, texts
 from sievelake.llm.minhash import whole_groups
 
 GRAM = 32
 HOT, PIECE = 4000, 8
+HEAVY = 1000
 BLOCK_BYTES = 512 << 10  # of contexts in one suffix array; a larger group is one by itself
 SEGMENT = 1 << 23  # window starts of a long text taken at once
 PLACE_BITS = np.uint64(24)
@@ -56,8 +58,9 @@ def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: row, anchor's hash, first window's start in the row, and how many windows."""
+def anchors(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows with one anchor: row, anchor's hash, first window's start in the row, how many windows, and
+    how far the anchor is from that start."""
     gram = min(GRAM, size)
     found: list[tuple[np.ndarray, ...]] = []
     for begin in range(0, max(len(data) - size + 1, 0), SEGMENT):
@@ -77,17 +80,17 @@ def anchors(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarra
         new[1:] = (where[1:] != where[:-1]) | (row[start[1:]] != row[start[:-1]])
         first = np.flatnonzero(new)
         r = row[start[first]]
-        found.append((r, h[where[first]].view(np.int64), begin + start[first] - offsets[r], np.diff(np.append(first, len(start)))))
+        found.append((r, h[where[first]].view(np.int64), begin + start[first] - offsets[r], np.diff(np.append(first, len(start))), where[first] - start[first]))
     if not found:
-        return tuple(np.zeros(0, np.int64) for _ in range(4))  # type: ignore[return-value]
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))  # type: ignore[return-value]
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _anchor_rows(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "body"):
-            row, h, start, n = anchors(*flat(b.column("body")), size)
-            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(row)), pa.array(h), pa.array(start), pa.array(n)], ["key", "gram", "start", "n"])
+            row, h, start, n, lead = anchors(*flat(b.column("body")), size)
+            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(row)), pa.array(h), pa.array(start), pa.array(n), pa.array(lead)], ["key", "gram", "start", "n", "lead"])
 
     return run
 
@@ -98,11 +101,11 @@ def _anchor_rows(size: int):
 def _context_rows(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for b in slices(batches, "body", 1 << 20):
+        for b in slices(batches, "body"):
             out: list[tuple] = []
             for key, body, runs in zip(b.column("key").to_pylist(), b.column("body").to_pylist(), b.column("runs"), strict=True):
                 of = runs.values
-                for gram, start, n in zip(*(of.field(k).to_pylist() for k in range(3)), strict=True):
+                for gram, start, n, lead in zip(*(of.field(k).to_pylist() for k in range(4)), strict=True):
                     context = body[start : start + n - 1 + size]
                     digest = hashlib.blake2b(context, digest_size=16).digest()
                     if digest in seen:
@@ -111,10 +114,10 @@ def _context_rows(size: int):
                         if len(seen) >= SEEN:
                             seen.clear()
                         seen.add(digest)
-                    out.append((key, gram, digest, start, n, context))
+                    out.append((key, gram, digest, start, n, lead, context))
             if out:
-                key, gram, digest, start, n, context = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(gram, pa.int64()), pa.array(digest, pa.binary()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(context, pa.binary())], ["key", "gram", "digest", "start", "n", "context"])
+                key, gram, digest, start, n, lead, context = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(gram, pa.int64()), pa.array(digest, pa.binary()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(lead, pa.int64()), pa.array(context, pa.binary())], ["key", "gram", "digest", "start", "n", "lead", "context"])
 
     return run
 
@@ -125,8 +128,8 @@ def _context_rows(size: int):
 def two_stage_order(t: np.ndarray, active: np.ndarray, depth: int) -> np.ndarray:
     """The active places of t in the order of their suffixes, exact for the first `depth` bytes.
 
-    t ends with its least value, which no active place has. Every active place must be smaller than its
-    successor or be followed by an active place.
+    t ends with its least value. Every active place must be smaller than its successor, which its end counts
+    as, or be followed by an active place.
     """
     n = len(t)
     change = np.where(t[:-1] != t[1:], np.arange(n - 1), n)
@@ -274,23 +277,35 @@ def repeats(docs: DataFrame, size: int) -> DataFrame:
     bounded_batches(spark)
     bodies = keyed(docs)
     mine, theirs = scratch_path(spark, "anchors"), scratch_path(spark, "contexts")
-    bodies.filter(F.octet_length("body") >= size).mapInArrow(_anchor_rows(size), "key binary, gram long, start long, n long").write.option("compression", "zstd").parquet(mine)
+    bodies.filter(F.octet_length("body") >= size).mapInArrow(_anchor_rows(size), "key binary, gram long, start long, n long, lead long").write.option("compression", "zstd").parquet(mine)
     found = spark.read.parquet(mine)
-    several = found.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("gram")
-    runs = found.join(several, "gram").groupBy("key").agg(F.collect_set(F.struct("gram", "start", "n")).alias("runs"))
-    bodies.join(runs, "key").select("key", "body", "runs").mapInArrow(_context_rows(size), "key binary, gram long, digest binary, start long, n long, context binary").write.option("compression", "zstd").parquet(theirs)
+    counts = found.groupBy(F.col("gram").alias("known")).agg(F.count(F.lit(1)).alias("m"))
+    # a hash with more than one anchor in HEAVY has several places and need not be looked up: at most HEAVY rows are broadcast
+    heavy = counts.filter(F.col("m") > max(1, found.count() // HEAVY)).select(F.col("known").alias("heavy"))
+    marked = found.join(F.broadcast(heavy), F.col("gram") == F.col("heavy"), "left")
+    spread = F.when(F.col("heavy").isNotNull(), F.xxhash64("key", "start")).otherwise(F.col("gram"))
+    several = marked.join(counts.filter("m > 1").select("known"), spread == F.col("known"), "left").filter("heavy IS NOT NULL OR known IS NOT NULL")
+    runs = several.groupBy("key").agg(F.collect_set(F.struct("gram", "start", "n", "lead")).alias("runs"))
+    bodies.join(runs, "key").select("key", "body", "runs").mapInArrow(_context_rows(size), "key binary, gram long, digest binary, start long, n long, lead long, context binary").write.option("compression", "zstd").parquet(theirs)
+
+    release(spark)
 
     places = spark.read.parquet(theirs)
-    hot = places.groupBy("gram").agg(F.approx_count_distinct("digest").alias("m")).filter(F.col("m") > HOT).select("gram", F.lit(True).alias("hot"))
-    contexts = places.groupBy("gram", "digest").agg(F.count(F.lit(1)).alias("places"), F.max("context").alias("context"), F.max("n").alias("n")).join(hot, "gram", "left")
-    step = F.when(F.col("hot"), F.lit(PIECE)).otherwise(F.col("n"))
-    cut = contexts.select("gram", "digest", "places", "context", "n", "hot", F.explode(F.sequence(F.lit(0), F.col("n") - 1, step)).alias("skip"))
-    windows = F.when(F.col("hot"), F.least(F.lit(PIECE), F.col("n") - F.col("skip"))).otherwise(F.col("n"))
+    hot = checkpointed(places.groupBy("gram").agg(F.approx_count_distinct("digest").alias("m")).filter(F.col("m") > HOT).select("gram", F.lit(True).alias("hot")))
+    contexts = places.groupBy("gram", "digest").agg(F.count(F.lit(1)).alias("places"), F.max("context").alias("context"), F.max("n").alias("n"), F.max("lead").alias("lead"))
+    contexts = contexts.withColumn("hot", F.lit(False)) if hot.isEmpty() else contexts.join(hot, "gram", "left")
+    # hot contexts are cut where a window's distance from the anchor is a multiple of PIECE, so equal windows are cut alike
+    last, offset = F.col("n") - 1, F.pmod(F.col("lead"), F.lit(PIECE))
+    inner = F.when(offset <= last, F.sequence(offset, last, F.lit(PIECE).cast("long"))).otherwise(F.array().cast("array<long>"))
+    skips = F.when(F.col("hot"), F.array_distinct(F.concat(F.array(F.lit(0).cast("long")), inner))).otherwise(F.array(F.lit(0).cast("long")))
+    cut = contexts.select("gram", "digest", "places", "context", "n", "lead", "hot", F.explode(skips).alias("skip"))
+    past = F.pmod(F.col("skip") - F.col("lead"), F.lit(PIECE))
+    windows = F.when(F.col("hot"), F.least(PIECE - past, F.col("n") - F.col("skip"))).otherwise(F.col("n"))
     piece = lambda skip, length: F.substring("context", skip.cast("int") + 1, length.cast("int"))
-    # the bytes that all windows of a full run share decide where a hot one goes
-    core = F.md5(piece(F.col("skip") + PIECE - 1, F.lit(size - PIECE + 1))) if size > PIECE else F.lit("")
-    dealt = F.when(F.col("hot"), F.xxhash64("gram", "skip_at", core)).otherwise(F.xxhash64("gram"))
-    rows = cut.withColumn("skip_at", F.lit(0)).select("gram", "digest", "places", F.col("skip").cast("long").alias("skip"), piece(F.col("skip"), windows + size - 1).alias("context"), dealt.alias("dealt"))
+    # the bytes that all windows of a run have in common decide where it goes
+    core = piece(F.col("skip") - past + PIECE - 1, F.lit(size - PIECE + 1)) if size > PIECE else F.lit("").cast("binary")
+    dealt = F.when(F.col("hot"), F.xxhash64("gram", F.col("skip") - F.col("lead") - past, core)).otherwise(F.xxhash64("gram"))
+    rows = cut.select("gram", "digest", "places", "skip", piece(F.col("skip"), windows + size - 1).alias("context"), dealt.alias("dealt"))
     rows = rows.repartition("dealt").sortWithinPartitions("dealt")
     told = rows.mapInArrow(_window_rows(size), "gram long, digest binary, first long, windows long")
 
@@ -299,6 +314,7 @@ def repeats(docs: DataFrame, size: int) -> DataFrame:
     out = checkpointed(spans.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans")))
     remove_path(spark, mine)
     remove_path(spark, theirs)
+    release(spark)
     return out
 
 
@@ -325,7 +341,7 @@ def kept_bytes(body: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, "body", 4 << 20):
+    for b in slices(batches, "body"):
         removed, n_spans, digests = [], [], []
         for body, spans in zip(b.column("body").to_pylist(), b.column("spans").to_pylist(), strict=True):
             runs = merged(spans or [])
@@ -350,7 +366,7 @@ def cut_repeats(docs: DataFrame, size: int = 400) -> DataFrame:
     own, other = "sievelake key", "sievelake spans of"
     rows = docs.withColumn(own, row_key(docs["doc_id"].cast("long"), F.coalesce(docs["text"], F.lit("")).cast("binary")))
     found = repeats(docs, size).select(F.col("key").alias(other), F.col("spans").alias("sievelake spans"))
-    names, kind = docs.columns, docs.schema
+    names = docs.columns
     lower = [n.lower() for n in names]
     text, chars = lower.index("text"), lower.index("n_chars") if "n_chars" in lower else None
 
@@ -369,7 +385,8 @@ def cut_repeats(docs: DataFrame, size: int = 400) -> DataFrame:
                 columns[text] = pa.array(bodies, columns[text].type)
                 if chars is not None:
                     columns[chars] = pa.array(lengths, columns[chars].type)
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays(columns, b.schema.names[:-1])
 
-    joined = rows.join(found, F.col(own) == F.col(other), "left")
-    return joined.select(*[rows[f"`{c}`"] for c in names], "sievelake spans").mapInArrow(run, kind)
+    joined = rows.join(found, F.col(own) == F.col(other), "left").select(*[rows[f"`{c}`"] for c in names], "sievelake spans")
+    plain = joined.toDF(*[f"c{k}" for k in range(len(names) + 1)])  # mapInArrow doesn't take every name
+    return plain.mapInArrow(run, T.StructType(plain.schema.fields[:-1])).toDF(*names)
