@@ -1,8 +1,9 @@
 """Connected components by alternating large and small stars, as DataFrame steps of bounded depth.
 
 Each round takes the least neighbour of every node by an aggregation (combined before the shuffle) and joins it
-back to the edges, so a node with very many edges is a skewed join that Spark splits, never a group in one
-task. Rounds end when the edges are stars that no longer change; each is cut off by a checkpoint.
+back to the edges. Nodes with more than one edge in HEAVY, of which there can be no more than 2 * HEAVY, get
+theirs by a broadcast, so that no task has all edges of such a node. Rounds end when the edges are stars that no
+longer change; each is cut off by a checkpoint.
 """
 
 from __future__ import annotations
@@ -13,27 +14,38 @@ from pyspark.sql import functions as F
 from sievelake.llm.common import checkpointed
 
 ROUNDS = 60
+HEAVY = 500
+LIGHT_EDGES = 50_000  # with fewer edges no node is worth a broadcast
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(pairs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs with `low`, the least b that their a has, and those lows: node, low."""
+    least = pairs.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("m"))
+    lows = least.select("node", "low")
+    if n < LIGHT_EDGES:
+        return pairs.join(lows, F.col("a") == F.col("node")).select("a", "b", "low"), lows
+    heavy = least.filter(F.col("m") > n // HEAVY).select(F.col("node").alias("heavy"), F.col("low").alias("heavy_low"))
+    marked = pairs.join(F.broadcast(heavy), F.col("a") == F.col("heavy"), "left")
+    # a heavy node's pairs are spread by their other end, and what they meet there doesn't count
+    spread = F.when(F.col("heavy").isNull(), F.col("a")).otherwise(F.col("b"))
+    return marked.join(lows, spread == F.col("node"), "left").select("a", "b", F.coalesce("heavy_low", "low").alias("low")), lows
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Every node's larger neighbours are tied to the least of its neighbours and itself."""
-    pairs = _both_ways(edges)
-    least = pairs.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("low", "a").alias("low"))
-    tied = pairs.filter("b > a").join(least, F.col("a") == F.col("node"))
-    return tied.select(F.col("low").alias("a"), "b").filter("a <> b").distinct()
+    tied, _ = _with_least(_both_ways(edges), n)
+    return tied.filter("b > a").select(F.least("low", "a").alias("a"), "b").filter("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Every node and its smaller neighbours are tied to the least of them."""
-    pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = pairs.groupBy("a").agg(F.min("b").alias("low"))
-    tied = pairs.join(least.select(F.col("a").alias("node"), "low"), F.col("a") == F.col("node")).select("low", F.col("b").alias("far"))
-    own = least.select("low", F.col("a").alias("far"))
-    return tied.unionByName(own).select(F.col("low").alias("a"), F.col("far").alias("b")).filter("a <> b").distinct()
+    tied, lows = _with_least(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), n)
+    both = tied.select(F.col("low").alias("a"), "b").unionByName(lows.select(F.col("low").alias("a"), F.col("node").alias("b")))
+    return both.filter("a <> b").distinct()
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -48,7 +60,7 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(ROUNDS):
         if not state[0]:
             break
-        now = checkpointed(_small_star(_large_star(now)))
+        now = checkpointed(_small_star(_large_star(now, state[0]), state[0]))
         before, state = state, _state(now)
         if state == before:
             break
