@@ -69,9 +69,12 @@ def test_spanning_forest():
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_components(spark, seed):
+def test_components(spark, seed, monkeypatch):
+    if seed == 2:  # heavy nodes
+        monkeypatch.setattr("sievelake.llm.components.LIGHT_EDGES", 0)
+        monkeypatch.setattr("sievelake.llm.components.HEAVY", 20)
     rnd = random.Random(seed)
-    edges = [(rnd.randrange(80), rnd.randrange(80)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)]
+    edges = [(rnd.randrange(80), rnd.randrange(80)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)] + [(300, 301 + i) for i in range(50)]
     root = {x: x for e in edges for x in e}
     changed = True
     while changed:

@@ -21,7 +21,7 @@ from sievelake.llm.token_files import read_token_files, token_digests, write_tok
 tokenizers = pytest.importorskip("tokenizers")
 P = pytest.importorskip("public_tokenizers")
 WORD, BYTE = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.json")
-HARD = list("aabb  's'tD'RE\n\t<|>!?.,09éßΣς́İıſK") + ["<|endoftext|>", "<|startoftext|>", " ", "½", "日本", "한", "\U0001f600", "\x00", "\x85", "Ᲊ"]
+HARD = list("aabb  's'tD'RE\n\t<|>!?.,09éßΣς́İıſK×÷Àÿ!\"#$%&()*+,-./:;=?@[\\]^_`{}~") + ["<|endoftext|>", "<|startoftext|>", " ", "½", "日本", "한", "\U0001f600", "\x00", "\x85", "Ᲊ"]
 
 
 def library(path):
