@@ -21,6 +21,7 @@ from sievelake.functions import spatial, text
 from sievelake.plans.nodes import And, Kind, Node, Not, Or, Predicate, Query, Shape
 
 EXACT = 1 << 53  # integers up to here are exact as doubles
+LONG = range(-(1 << 63), 1 << 63)
 
 
 def family(value: Any) -> str | None:
@@ -109,7 +110,7 @@ def _equal_sides(shape: Shape, p: Predicate) -> tuple[Column, Column] | None:
             return None
         return (c, F.lit(int(value))) if abs(value) < EXACT else (c.cast("double"), F.lit(value))
     if inner == "int" and of == "int":
-        return c, F.lit(value)
+        return (c, F.lit(value)) if value in LONG else None
     if inner == "float" and of in ("int", "float"):
         return (c if isinstance(kind, T.DoubleType) else c.cast("double")), F.lit(float(value))
     if inner == of and inner in ("str", "bool"):
@@ -133,6 +134,7 @@ def _range(shape: Shape, p: Predicate) -> Column:
         if inner == "int":
             if any(abs(v) >= EXACT and isinstance(v, float) and not math.isinf(v) for v in (low, high)):
                 return c.cast("double").between(float(low), float(high))
+            low, high = (v if isinstance(v, float) or v in LONG else math.copysign(math.inf, v) for v in (low, high))
             if low == math.inf or high == -math.inf:
                 return F.lit(False)
             parts = [c >= F.lit(math.ceil(low))] if low != -math.inf else []

@@ -232,7 +232,7 @@ def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
     where = f"{base.rstrip('/')}/snapshot-{abs(hash(sf_dir)) % 10**8}"
     Store.from_df(table(spark, sf_dir, "nation"), "n_nationkey").save(where)
-    return Store.load(spark, where).find().execute().select("n_nationkey", "n_name", "n_regionkey").withColumns({c: F.col(c).cast("int") for c in ("n_nationkey", "n_regionkey")})
+    return Store.load(spark, where).find().execute().select("n_nationkey", "n_name", "n_regionkey")
 
 
 # --- sketches ------------------------------------------------------------------------------------------

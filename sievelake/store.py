@@ -27,14 +27,8 @@ DEFAULT_BUDGET = 64 << 20
 BUFFER_ROWS = 10_000  # single inserts that are kept as Python values before they become a part
 
 
-def widened(df: DataFrame) -> DataFrame:
-    """Integers as BIGINT, floats as DOUBLE."""
-    wide = {f.name: T.LongType() if isinstance(f.dataType, T.IntegralType) else T.DoubleType() if isinstance(f.dataType, T.FloatType) else None for f in df.schema.fields}
-    return df.select(*[column(n).cast(t).alias(n) if t else column(n) for n, t in wide.items()])
-
-
 def merged(parts: list[DataFrame]) -> DataFrame:
-    """All rows, attributes matched by name; an attribute of several families becomes a VARIANT."""
+    """All rows, attributes matched by name, numbers widened to the widest; an attribute of several families becomes a VARIANT."""
     if len(parts) == 1:
         return parts[0]
     kinds: dict[str, list[T.DataType]] = {}
@@ -122,7 +116,7 @@ class Store:
         if id is None:
             out.insert_frame(df)
         else:
-            out._parts = [widened(df.withColumn(ID, column(id).cast("bigint")))]
+            out._parts = [df.withColumn(ID, column(id).cast("bigint"))]
             out._next = -1  # found when an id is to be given
         return out
 
@@ -159,7 +153,7 @@ class Store:
         with self._lock:
             self._flush()
             pos = "sievelake pos"
-            fixed = checkpointed(widened(df).withColumn(pos, F.monotonically_increasing_id()))
+            fixed = checkpointed(df.withColumn(pos, F.monotonically_increasing_id()))
             place = F.shiftright(F.col(pos), 33)
             sizes = {r[0]: r[1] for r in fixed.groupBy(place).count().collect()}  # one row for each partition
             total = sum(sizes.values())
