@@ -4,7 +4,7 @@ A query's predicates call for paths: a kind of path and an attribute. A sorted p
 the attribute in a cached columnar table, whose batches carry bounds that a scan skips by; a words or trigrams
 path is a cached table of postings, which gives the ids of candidates before records are read. Paths are built
 when first called for, scored by use, age and cost of building, and dropped lowest score first when they
-outgrow the budget. Every query can be answered without any of them, so dropping never changes an answer; and a
+outgrow the budget; one whose estimated size is beyond the budget isn't built at all. Every query can be answered without any of them, so dropping never changes an answer; and a
 path is of one version of the store, so a change drops it too.
 """
 
@@ -112,17 +112,34 @@ class AccessPaths:
                 found.hits += 1
                 return found
         frame = _built(store, PATHS[q.kind][0], q.attribute)
-        if frame is None:
+        if frame is None or _estimate(frame, store) > self.budget:  # it would be dropped as soon as it is there
             return None
         begun = time.monotonic()
         frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
         frame.count()
-        size = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        size = _stated_size(frame)
         now = time.monotonic()
         path = self.live[PATHS[q.kind][0], q.attribute] = Path(PATHS[q.kind][0], q.attribute, store.version, frame, size, now - begun, now)
         return path
 
 
+UNKNOWN = 1 << 50  # from here on the optimizer could not tell, and starts from the largest number there is
+
+
+def _stated_size(frame: DataFrame) -> int:
+    plan = frame.select("*")._jdf.queryExecution().optimizedPlan()  # a new plan, which knows what is cached by now
+    return int(str(plan.stats().sizeInBytes()))
+
+
+def _estimate(frame: DataFrame, store: Store) -> int:
+    """About how large a path would be, without building it."""
+    stated = _stated_size(frame)
+    if stated < UNKNOWN:
+        return stated
+    records = store.frame()  # only their number is counted
+    return records.count() * sum(8 if isinstance(f.dataType, T.NumericType) else 24 for f in records.schema.fields)
+
+
 def _all_of(node: Node) -> list[Predicate]:
     """The predicates that every row of the result meets."""
     if isinstance(node, Predicate):

@@ -106,6 +106,13 @@ def test_paths(spark):
     assert ids(q.execute(with_id=True)) == rows and s.index_inventory() == []
 
 
+def test_large_paths_are_not_built(spark, tmp_path):
+    spark.range(20_000).repartition(1).selectExpr("id", "id % 9 AS k", "uuid() AS u").write.parquet(str(tmp_path / "t"))
+    s = Store.from_df(spark.read.parquet(str(tmp_path / "t")), "id", memory_budget=100_000)
+    found = s.find().equals("k", 3).execute()
+    assert found.count() == 2222 and s.index_inventory() == [] and "InMemoryTableScan" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_eviction_takes_the_least_used(spark):
     s = Store(spark, 1 << 40)
     s.insert_many([{"a": i, "b": i} for i in range(50)])
