@@ -25,9 +25,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelake.llm.common import bounded_batches, flat, slices
+from sievelake.llm.labelled import LONGEST
 
-PER_LANGUAGE = 600  # training documents of a language at most
 LANGUAGES = 400  # languages at most: the most frequent ones
+PER_LANGUAGE, AT_LEAST, IN_ALL = 600, 20, 4000  # training documents of a language: at most, and of very many languages as few as AT_LEAST
 EXHAUSTIVE = 7
 BUCKETS = 1 << 12
 GRAMS = (2, 3, 4)
@@ -128,13 +129,15 @@ def fit_codebook(x: np.ndarray, names: list[str]) -> Codebook | None:
 
 
 def fit_languages(docs: DataFrame, learn: Column | None = None) -> Codebook | None:
-    """From texts and non-null lang of the rows where `learn` holds: of each language the PER_LANGUAGE ids that hash lowest."""
+    """From texts and non-null lang of the rows where `learn` holds: of each language the ids that hash lowest,
+    so many that there are about IN_ALL. Texts longer than LONGEST are not learned from."""
     rows = docs.filter(learn) if learn is not None else docs
-    rows = rows.select(rows["doc_id"].cast("long").alias("doc_id"), rows["lang"].cast("string").alias("lang"), rows["text"].alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
+    rows = rows.select(rows["doc_id"].cast("long").alias("doc_id"), rows["lang"].cast("string").alias("lang"), rows["text"].alias("text")).filter(F.col("lang").isNotNull() & (F.octet_length("text") <= LONGEST))
     often = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    # at most LANGUAGES rows, and then LANGUAGES * PER_LANGUAGE, of an id and a name are broadcast
+    most = max(AT_LEAST, min(PER_LANGUAGE, IN_ALL // max(1, often.count())))
+    # at most LANGUAGES names, and then LANGUAGES * AT_LEAST or IN_ALL rows of an id and a name, are broadcast
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = rows.join(F.broadcast(often.select("lang")), "lang", "left_semi").select("doc_id", "lang").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= PER_LANGUAGE).select("doc_id", "lang").distinct()
+    picked = rows.join(F.broadcast(often.select("lang")), "lang", "left_semi").select("doc_id", "lang").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most).select("doc_id", "lang").distinct()
     sample = rows.join(F.broadcast(picked), ["doc_id", "lang"], "left_semi").orderBy("lang", F.xxhash64("doc_id"), "doc_id").select("lang", "text").toArrow()
     xs, names = [], []
     for b in slices(sample.to_batches(), "text"):
