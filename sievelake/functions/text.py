@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column
@@ -42,11 +43,20 @@ def trigram_similarity(text: Column, target: str) -> Column:
 
 
 def resembles(text: Column, target: str, threshold: float) -> Column:
-    """Similar by the threshold, and with a trigram in common even if the threshold is 0 or less."""
+    """Similar by the threshold, and with a trigram in common even if the threshold is 0 or less.
+
+    A text that is similar enough has so many of the target's trigrams that it must have one of any few of them:
+    that is looked for first, by one pattern, and only what passes is cut into trigrams.
+    """
     if threshold != threshold:
         return F.lit(False)
-    score = trigram_similarity(text, target)
-    return score >= F.lit(float(threshold)) if threshold > 0 else score > 0.0
+    theirs = trigrams_of(target)
+    needed = max(1, math.ceil(threshold * len(theirs) - 1e-9))
+    if needed > len(theirs):
+        return F.lit(False)
+    telling = sorted(theirs, key=lambda g: g.count(" "))[: len(theirs) - needed + 1]
+    some = F.concat(F.lit(PAD), F.lower(text), F.lit(PAD)).rlike("|".join(f"\\Q{g}\\E" for g in telling))
+    return some & (trigram_similarity(text, target) >= F.lit(float(threshold))) if threshold > 0 else some
 
 
 def has_substring(text: Column, part: str) -> Column:
