@@ -37,6 +37,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found or sc.getCheckpointDir()
 
 
+HEAVY = 500
+LIGHT_ROWS = 20_000  # fewer rows of one key are no burden to a task
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    """For shuffles before much work on few bytes: as many tasks as are configured, however small."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def spread_join(rows: DataFrame, counts: DataFrame, key: str, other: Column, n: int) -> DataFrame:
+    """`rows` inner-joined with `counts`: a column `key` that is unique there, m (how many rows have it) and others.
+
+    Keys with more than one in HEAVY of the n rows, of which there can't be more than HEAVY, are looked up by a
+    broadcast and their rows spread by `other`, which is of the key's type, so that no task has all of them.
+    """
+    mine, more = "spread key", [c for c in counts.columns if c != key]
+    if n < LIGHT_ROWS:
+        return rows.join(counts, key)
+    heavy = counts.filter(F.col("m") > n // HEAVY).select(F.col(key).alias("heavy key"), *[F.col(c).alias(f"heavy {c}") for c in more])
+    marked = rows.join(F.broadcast(heavy), F.col(key) == F.col("heavy key"), "left")
+    spread = F.when(F.col("heavy key").isNull(), F.col(key)).otherwise(other)
+    met = marked.join(counts.withColumnRenamed(key, mine), spread == F.col(mine), "left").filter(f"`heavy key` IS NOT NULL OR `{mine}` IS NOT NULL")
+    light = F.col("heavy key").isNull()
+    return met.select(*[rows[c] for c in rows.columns], *[F.when(light, F.col(c)).otherwise(F.col(f"heavy {c}")).alias(c) for c in more])
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and go on from there: lost executors don't undo it."""
     shared_dir(df.sparkSession)

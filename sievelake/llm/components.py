@@ -1,9 +1,8 @@
 """Connected components by alternating large and small stars, as DataFrame steps of bounded depth.
 
 Each round takes the least neighbour of every node by an aggregation (combined before the shuffle) and joins it
-back to the edges. Nodes with more than one edge in HEAVY, of which there can be no more than 2 * HEAVY, get
-theirs by a broadcast, so that no task has all edges of such a node. Rounds end when the edges are stars that no
-longer change; each is cut off by a checkpoint.
+back to the edges, so that no task has all edges of a node with very many. Rounds end when the edges are stars
+that no longer change; each is cut off by a checkpoint.
 """
 
 from __future__ import annotations
@@ -11,11 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import checkpointed
+from sievelake.llm.common import checkpointed, spread_join
 
 ROUNDS = 60
-HEAVY = 500
-LIGHT_EDGES = 50_000  # with fewer edges no node is worth a broadcast
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -23,16 +20,9 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 
 
 def _with_least(pairs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """The pairs with `low`, the least b that their a has, and those lows: node, low."""
-    least = pairs.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("m"))
-    lows = least.select("node", "low")
-    if n < LIGHT_EDGES:
-        return pairs.join(lows, F.col("a") == F.col("node")).select("a", "b", "low"), lows
-    heavy = least.filter(F.col("m") > n // HEAVY).select(F.col("node").alias("heavy"), F.col("low").alias("heavy_low"))
-    marked = pairs.join(F.broadcast(heavy), F.col("a") == F.col("heavy"), "left")
-    # a heavy node's pairs are spread by their other end, and what they meet there doesn't count
-    spread = F.when(F.col("heavy").isNull(), F.col("a")).otherwise(F.col("b"))
-    return marked.join(lows, spread == F.col("node"), "left").select("a", "b", F.coalesce("heavy_low", "low").alias("low")), lows
+    """The pairs with `low`, the least b that their a has, and those lows: a, low."""
+    least = pairs.groupBy("a").agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("m"))
+    return spread_join(pairs, least, "a", F.col("b"), n).select("a", "b", "low"), least.select("a", "low")
 
 
 def _large_star(edges: DataFrame, n: int) -> DataFrame:
@@ -44,7 +34,7 @@ def _large_star(edges: DataFrame, n: int) -> DataFrame:
 def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Every node and its smaller neighbours are tied to the least of them."""
     tied, lows = _with_least(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), n)
-    both = tied.select(F.col("low").alias("a"), "b").unionByName(lows.select(F.col("low").alias("a"), F.col("node").alias("b")))
+    both = tied.select(F.col("low").alias("a"), "b").unionByName(lows.select(F.col("low").alias("a"), F.col("a").alias("b")))
     return both.filter("a <> b").distinct()
 
 

@@ -10,7 +10,7 @@
    pair is confirmed exactly; again only a spanning forest of the links goes on. Its components are the result.
 
 No bucket, cluster or set of partners is cut short. A link is missed only if no band of its two documents
-agrees or its sketches differ beyond MOST_DIFFERING: for a similarity of 0.85 less than once in 10**7.
+agrees or its sketches differ beyond MOST_DIFFERING: for a similarity of 0.8 less than once in 10**7.
 
 Results for the special cases: null and empty texts and texts of white space have no shingles and are linked
 with nothing; with fewer words than a shingle the whole sequence is one; rows equal in id are documents of
@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import BYTE_CODES, bounded_batches, checkpointed, flat, mix64, prefix_hash, row_key, slices, span_hash, texts, word_spans
+from sievelake.llm.common import BYTE_CODES, bounded_batches, checkpointed, flat, mix64, prefix_hash, row_key, shuffle_partitions, slices, span_hash, spread_join, texts, word_spans
 from sievelake.llm.components import components
 
-SAMPLES, ROWS, BANDS = 128, 4, 24  # MinHash samples; of them in a band; bands
+SAMPLES, ROWS, BANDS = 128, 4, 32  # MinHash samples; of them in a band; bands
 SKETCH_BITS = 512
 MOST_DIFFERING = 88  # bits of two sketches; a similarity of 0.85 has about 53, of 0.6 about 84
 BUCKET_BLOCK, CLUSTER_BLOCK, CLUSTER_SHINGLES = 2048, 512, 1_000_000
@@ -241,10 +241,7 @@ def _cluster_edges(words: int, percent: int):
                 part = b.slice(int(begin), int(end - begin))
                 keys = np.frombuffer(b"".join(part.column("cls").to_pylist()), np.uint64).reshape(-1, 2)
                 h, at = shingle_sets(*flat(part.column("text")), words)
-                # rows that share an id with a class's first document but are of another class, or repeat it
-                own = np.flatnonzero((class_keys(h, at) == keys).all(axis=1))
-                _, once = np.unique(keys[own], axis=0, return_index=True)
-                own = own[once]
+                _, own = np.unique(keys, axis=0, return_index=True)  # a row may be there several times
                 if len(own) < 2:
                     continue
                 sizes = np.diff(at)[own]
@@ -265,9 +262,6 @@ def block_pairs(blocks: Column, key: Column) -> Column:
     return F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j")))
 
 
-NO_ID = -(1 << 63)  # stands for null in joins
-
-
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of `docs`: doc_id, n_shingles, component_id, kept.
 
@@ -297,24 +291,24 @@ def _components(docs: DataFrame, words: int, percent: int) -> DataFrame:
     bounded_batches(docs.sparkSession)
     named = texts(docs).withColumn("key", row_key(F.col("doc_id"), F.col("text").cast("binary")))
     signed = checkpointed(named.mapInArrow(_signatures(words), "doc_id long, key binary, n_shingles long, cls binary, sketch binary, bands array<long>"))
-    classes = checkpointed(signed.filter("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n"), F.any_value("sketch").alias("sketch"), F.any_value("bands").alias("bands")))
+    classes = checkpointed(signed.filter("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.min("key").alias("first_key"), F.min("n_shingles").alias("n"), F.any_value("sketch").alias("sketch"), F.any_value("bands").alias("bands")))
 
     # buckets with more than one class
     rows = classes.select("cls", F.explode("bands").alias("bucket"))
     counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    met = rows.join(counts, "bucket").join(classes.select("cls", "sketch"), "cls")
+    met = spread_join(rows, counts, "bucket", F.xxhash64("cls", "bucket"), BANDS * classes.count()).join(classes.select("cls", "sketch"), "cls")
     blocks = F.ceil(F.col("m") / BUCKET_BLOCK).cast("long")
     dealt = met.select("bucket", "cls", "sketch", F.explode(block_pairs(blocks, F.xxhash64("cls"))).alias("p")).select("bucket", "p.i", "p.j", "cls", "sketch")
     dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     clusters = components(dealt.mapInArrow(_bucket_edges, "a binary, b binary")).select(F.col("node").alias("cls"), F.col("root").alias("cluster"))
 
     # full sets of the clusters' classes
-    told = classes.select("cls", "first_id", "n").join(clusters, "cls")
+    told = classes.select("cls", "first_key", "n").join(clusters, "cls")
     sizes = told.groupBy("cluster").agg(F.ceil(F.greatest(F.count(F.lit(1)) / CLUSTER_BLOCK, F.sum("n") / CLUSTER_SHINGLES)).cast("long").alias("blocks"))
-    wanted = told.join(sizes, "cluster").select("cls", "cluster", "blocks", F.coalesce("first_id", F.lit(NO_ID)).alias("id"))
-    full = texts(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text").join(wanted, "id")
+    wanted = told.join(sizes, "cluster").select("cls", "cluster", "blocks", F.col("first_key").alias("key"))
+    full = named.select("key", "text").join(wanted, "key")
     full = full.select("cluster", "cls", "text", F.explode(block_pairs(F.col("blocks"), F.xxhash64("cls"))).alias("p")).select("cluster", "p.i", "p.j", "cls", "text")
-    full = full.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    full = full.repartition(shuffle_partitions(docs.sparkSession), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
     linked = components(full.mapInArrow(_cluster_edges(words, percent), "a binary, b binary"))
 
     ids = linked.join(classes.select("cls", "first_id"), F.col("node") == F.col("cls")).select("cls", "root", "first_id")

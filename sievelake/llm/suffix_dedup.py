@@ -30,12 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievelake.llm.common import BYTE_CODES, bounded_batches, checkpointed, flat, prefix_hash, release, remove_path, row_key, scratch_path, slices, span_hash, texts
+from sievelake.llm.common import BYTE_CODES, bounded_batches, checkpointed, flat, prefix_hash, release, remove_path, row_key, scratch_path, shuffle_partitions, slices, span_hash, spread_join, texts
 from sievelake.llm.minhash import whole_groups
 
 GRAM = 32
 HOT, PIECE = 4000, 8
-HEAVY = 1000
 BLOCK_BYTES = 512 << 10  # of contexts in one suffix array; a larger group is one by itself
 SEGMENT = 1 << 23  # window starts of a long text taken at once
 PLACE_BITS = np.uint64(24)
@@ -279,12 +278,8 @@ def repeats(docs: DataFrame, size: int) -> DataFrame:
     mine, theirs = scratch_path(spark, "anchors"), scratch_path(spark, "contexts")
     bodies.filter(F.octet_length("body") >= size).mapInArrow(_anchor_rows(size), "key binary, gram long, start long, n long, lead long").write.option("compression", "zstd").parquet(mine)
     found = spark.read.parquet(mine)
-    counts = found.groupBy(F.col("gram").alias("known")).agg(F.count(F.lit(1)).alias("m"))
-    # a hash with more than one anchor in HEAVY has several places and need not be looked up: at most HEAVY rows are broadcast
-    heavy = counts.filter(F.col("m") > max(1, found.count() // HEAVY)).select(F.col("known").alias("heavy"))
-    marked = found.join(F.broadcast(heavy), F.col("gram") == F.col("heavy"), "left")
-    spread = F.when(F.col("heavy").isNotNull(), F.xxhash64("key", "start")).otherwise(F.col("gram"))
-    several = marked.join(counts.filter("m > 1").select("known"), spread == F.col("known"), "left").filter("heavy IS NOT NULL OR known IS NOT NULL")
+    counts = found.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    several = spread_join(found, counts, "gram", F.xxhash64("key", "start"), found.count())
     runs = several.groupBy("key").agg(F.collect_set(F.struct("gram", "start", "n", "lead")).alias("runs"))
     bodies.join(runs, "key").select("key", "body", "runs").mapInArrow(_context_rows(size), "key binary, gram long, digest binary, start long, n long, lead long, context binary").write.option("compression", "zstd").parquet(theirs)
 
@@ -306,7 +301,7 @@ def repeats(docs: DataFrame, size: int) -> DataFrame:
     core = piece(F.col("skip") - past + PIECE - 1, F.lit(size - PIECE + 1)) if size > PIECE else F.lit("").cast("binary")
     dealt = F.when(F.col("hot"), F.xxhash64("gram", F.col("skip") - F.col("lead") - past, core)).otherwise(F.xxhash64("gram"))
     rows = cut.select("gram", "digest", "places", "skip", piece(F.col("skip"), windows + size - 1).alias("context"), dealt.alias("dealt"))
-    rows = rows.repartition("dealt").sortWithinPartitions("dealt")
+    rows = rows.repartition(shuffle_partitions(spark), "dealt").sortWithinPartitions("dealt")
     told = rows.mapInArrow(_window_rows(size), "gram long, digest binary, first long, windows long")
 
     begin = F.col("start") + F.col("first")
