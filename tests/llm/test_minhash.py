@@ -71,8 +71,8 @@ def test_spanning_forest():
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed, monkeypatch):
     if seed == 2:  # heavy nodes
-        monkeypatch.setattr("sievelake.llm.components.LIGHT_EDGES", 0)
-        monkeypatch.setattr("sievelake.llm.components.HEAVY", 20)
+        monkeypatch.setattr("sievelake.llm.common.LIGHT_ROWS", 0)
+        monkeypatch.setattr("sievelake.llm.common.HEAVY", 20)
     rnd = random.Random(seed)
     edges = [(rnd.randrange(80), rnd.randrange(80)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)] + [(300, 301 + i) for i in range(50)]
     root = {x: x for e in edges for x in e}
@@ -93,6 +93,8 @@ def test_matches_brute_force(docs, rows, k, percent, blocks, monkeypatch):
         monkeypatch.setattr(m, "BUCKET_BLOCK", 3)
         monkeypatch.setattr(m, "CLUSTER_BLOCK", 2)
         monkeypatch.setattr(m, "PAIR_SIZES", 2)
+        monkeypatch.setattr("sievelake.llm.common.LIGHT_ROWS", 0)
+        monkeypatch.setattr("sievelake.llm.common.HEAVY", 1000)
     sets, roots = brute(rows, k, percent)
     least = {}
     for r, root in zip(rows, roots, strict=True):

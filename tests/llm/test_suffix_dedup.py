@@ -67,7 +67,8 @@ def spans_of(texts, size):
 def test_matches_brute_force(docs, rows, monkeypatch, hot):
     if hot:
         monkeypatch.setattr(m, "HOT", 1)
-        monkeypatch.setattr(m, "HEAVY", 100_000)
+        monkeypatch.setattr("sievelake.llm.common.LIGHT_ROWS", 0)
+        monkeypatch.setattr("sievelake.llm.common.HEAVY", 1000)
         monkeypatch.setattr(m, "BLOCK_BYTES", 3000)
         monkeypatch.setattr(m, "SEEN", 3)
     bodies = [(r[1] or "").encode() for r in rows]
