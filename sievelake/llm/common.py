@@ -24,7 +24,7 @@ BATCH_BYTES = 8 << 20  # of one Arrow batch that goes to Python; a single longer
 def bounded_batches(spark: SparkSession) -> None:
     """Limit the bytes of the Arrow batches sent to Python, so that long texts don't add up there."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key, str(1 << 30)).rstrip("bB")) > BATCH_BYTES:
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, "1g")) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
@@ -182,7 +182,7 @@ def powers(n: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
             steps[0] = 1
             both.append(np.cumprod(steps, dtype=np.uint64))
         have = (both[0], both[1])
-        if size <= 1 << 24:
+        if size <= 1 << 22:
             _powers[base] = have
     return have[0][:n], have[1][:n]
 

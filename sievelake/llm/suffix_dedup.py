@@ -36,7 +36,7 @@ from sievelake.llm.minhash import whole_groups
 GRAM = 32
 HOT, PIECE = 4000, 8
 BLOCK_BYTES = 512 << 10  # of contexts in one suffix array; a larger group is one by itself
-SEGMENT = 1 << 23  # window starts of a long text taken at once
+SEGMENT = 1 << 20  # window starts of a long text taken at once
 PLACE_BITS = np.uint64(24)
 SEEN = 100_000  # contexts that a task remembers, to send their bytes once
 
