@@ -20,7 +20,7 @@ import pyarrow as pa
 
 from sievelake.llm.common import BYTE_CODES, drop_kept, flat, prefix_hash, single_threaded, span_hash, worker_keeps
 
-CACHE_PIECES = 600_000  # at most in a Python worker, some 50 bytes each; later ones are encoded anew in each batch
+CACHE_PIECES = 400_000  # at most in a Python worker, some 50 bytes each; later ones are encoded anew in each batch
 TOGETHER = 500  # words in one string for the library
 
 #: A list of pieces -> ids end to end, and of each piece where its ids start and how many they are.
