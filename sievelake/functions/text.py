@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,8 +57,13 @@ def resembles(text: Column, target: str, threshold: float) -> Column:
     if needed > len(theirs):
         return F.lit(False)
     telling = sorted(theirs, key=lambda g: g.count(" "))[: len(theirs) - needed + 1]
-    some = F.concat(F.lit(PAD), F.lower(text), F.lit(PAD)).rlike("|".join(f"\\Q{g}\\E" for g in telling))
-    return some & (trigram_similarity(text, target) >= F.lit(float(threshold))) if threshold > 0 else some
+    padded = F.concat(F.lit(PAD), F.lower(text), F.lit(PAD))
+    some = padded.rlike("|".join(f"\\Q{g}\\E" for g in telling))
+    if threshold <= 0:
+        return some
+    shared = reduce(add, [F.contains(padded, F.lit(g)).cast("int") for g in theirs])
+    similar = shared / (F.size(trigrams(text)) + len(theirs) - shared) >= F.lit(float(threshold))
+    return some & (shared >= needed) & similar
 
 
 def has_substring(text: Column, part: str) -> Column:
