@@ -66,6 +66,22 @@ def count_table(df: DataFrame, attribute: str, rows: int = COUNT_ROWS, width: in
     return cells.groupBy("row", "col").agg(F.sum("n").alias("cnt"))
 
 
+def bloom_asked(table: DataFrame, values: DataFrame, attribute: str, bits: int = BLOOM_BITS, hashes: int = BLOOM_HASHES) -> DataFrame:
+    """Of each distinct value of the attribute whether a bloom_table may contain it (maybe)."""
+    asked = values.select(column(attribute).alias("asked"), _shown(values, attribute).alias("shown")).distinct()
+    at = asked.select("asked", F.explode(bloom_positions(F.col("shown"), bits, hashes)).alias("pos"))
+    found = at.join(F.broadcast(table.withColumn("set", F.lit(True))), "pos", "left")  # `bits` rows at most
+    return found.groupBy("asked").agg(F.bool_and(F.coalesce("set", F.lit(False))).alias("maybe")).withColumnRenamed("asked", attribute)
+
+
+def count_asked(table: DataFrame, values: DataFrame, attribute: str, rows: int = COUNT_ROWS, width: int = COUNT_WIDTH) -> DataFrame:
+    """Of each distinct value of the attribute the estimate that a count_table gives."""
+    asked = values.select(column(attribute).alias("asked"), _shown(values, attribute).alias("shown")).distinct()
+    at = asked.select("asked", F.posexplode(count_columns(F.col("shown"), rows, width)).alias("row", "col"))
+    found = at.join(F.broadcast(table), ["row", "col"], "left")  # rows * width at most
+    return found.groupBy("asked").agg(F.min(F.coalesce("cnt", F.lit(0))).alias("estimate")).withColumnRenamed("asked", attribute)
+
+
 @dataclass(frozen=True)
 class BloomSketch:
     """Which values may have been seen: no seen value is ever denied."""

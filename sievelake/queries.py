@@ -262,16 +262,16 @@ def count_min_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("bloom_maybe_contains", "SELECT DISTINCT event_type, true AS maybe FROM events UNION ALL SELECT 'no such event', false")
 def bloom_maybe_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = Store.from_df(table(spark, sf_dir, "events"), "event_id")
-    kinds = [r[0] for r in store.frame().select("event_type").distinct().limit(100).collect()]  # asked of the sketch, not of the table
-    return spark.createDataFrame([(k, store.maybe_contains("event_type", k)) for k in [*kinds, "no such event"]], "event_type string, maybe boolean")
+    kinds = store.frame().select("event_type").unionByName(spark.createDataFrame([("no such event",)], "event_type string"))
+    return store.maybe_contains_each("event_type", kinds)
 
 
 @register("cms_estimate", "SELECT o_orderpriority, count(*) AS estimate FROM orders GROUP BY 1 UNION ALL SELECT 'never', 0")
 def cms_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With five values in 1,024 cells a row, the estimates are exact."""
     store = Store.from_df(table(spark, sf_dir, "orders"), "o_orderkey")
-    kinds = [r[0] for r in store.frame().select("o_orderpriority").distinct().limit(100).collect()]
-    return spark.createDataFrame([(k, store.estimate_count("o_orderpriority", k)) for k in [*kinds, "never"]], "o_orderpriority string, estimate bigint")
+    kinds = store.frame().select("o_orderpriority").unionByName(spark.createDataFrame([("never",)], "o_orderpriority string"))
+    return store.estimate_count_each("o_orderpriority", kinds)
 
 
 # --- graphs --------------------------------------------------------------------------------------------

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievelake.operators.graph import GraphStore, checkpointed
-from sievelake.operators.sketch import BloomSketch, CountMinSketch
+from sievelake.operators.sketch import BloomSketch, CountMinSketch, bloom_asked, bloom_table, count_asked, count_table
 from sievelake.plans.builder import QueryBuilder
 from sievelake.plans.compile import apply_query, column, column_family, family, shape_of
 from sievelake.plans.nodes import Query
@@ -268,6 +268,14 @@ class Store:
         found = self._sketch(CountMinSketch, attribute)
         return 0 if found is None else found.estimate(value)
 
+    def maybe_contains_each(self, attribute: str, values: DataFrame) -> DataFrame:
+        """The same of all distinct values in a DataFrame's column of that name, with the answers as column maybe."""
+        return bloom_asked(bloom_table(self._history(), attribute), values, attribute)
+
+    def estimate_count_each(self, attribute: str, values: DataFrame) -> DataFrame:
+        """The same of all distinct values in a DataFrame's column of that name, with the answers as column estimate."""
+        return count_asked(count_table(self._history(), attribute), values, attribute)
+
     def rebuild_sketches(self) -> None:
         """Forget values of deleted records, as a save and load does."""
         with self._lock:
