@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from sievelake.llm.common import bounded_batches, flat, slices
 from sievelake.llm.labelled import LONGEST
 
-LANGUAGES = 400  # languages at most: the most frequent ones
 PER_LANGUAGE, AT_LEAST, IN_ALL = 600, 20, 4000  # training documents of a language: at most, and of very many languages as few as AT_LEAST
 EXHAUSTIVE = 7
 BUCKETS = 1 << 12
@@ -129,21 +128,29 @@ def fit_codebook(x: np.ndarray, names: list[str]) -> Codebook | None:
 
 
 def fit_languages(docs: DataFrame, learn: Column | None = None) -> Codebook | None:
-    """From texts and non-null lang of the rows where `learn` holds: of each language the ids that hash lowest,
-    so many that there are about IN_ALL. Texts longer than LONGEST are not learned from."""
+    """From texts and all non-null lang of the rows where `learn` holds: of each language the ids that hash lowest,
+    so many that there are about IN_ALL, and AT_LEAST of each. Texts longer than LONGEST are learned from, whole,
+    where a language has no others."""
+    bounded_batches(docs.sparkSession)
     rows = docs.filter(learn) if learn is not None else docs
-    rows = rows.select(rows["doc_id"].cast("long").alias("doc_id"), rows["lang"].cast("string").alias("lang"), rows["text"].alias("text")).filter(F.col("lang").isNotNull() & (F.octet_length("text") <= LONGEST))
-    often = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    most = max(AT_LEAST, min(PER_LANGUAGE, IN_ALL // max(1, often.count())))
-    # at most LANGUAGES names, and then LANGUAGES * AT_LEAST or IN_ALL rows of an id and a name, are broadcast
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = rows.join(F.broadcast(often.select("lang")), "lang", "left_semi").select("doc_id", "lang").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most).select("doc_id", "lang").distinct()
-    sample = rows.join(F.broadcast(picked), ["doc_id", "lang"], "left_semi").orderBy("lang", F.xxhash64("doc_id"), "doc_id").select("lang", "text").toArrow()
-    xs, names = [], []
-    for b in slices(sample.to_batches(), "text"):
-        xs.append(gram_shares(*flat(b.column("text"))))
-        names += b.column("lang").to_pylist()
-    return fit_codebook(np.concatenate(xs), names) if xs else None
+    rows = rows.select(rows["doc_id"].cast("long").alias("doc_id"), rows["lang"].cast("string").alias("lang"), rows["text"].alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
+    rows = rows.withColumn("long", F.octet_length("text") > LONGEST)
+    most = max(AT_LEAST, min(PER_LANGUAGE, IN_ALL // max(1, rows.select("lang").distinct().count())))
+    # IN_ALL rows of an id and a name are broadcast, or AT_LEAST of each language
+    each = Window.partitionBy("lang")
+    first = rows.select("doc_id", "lang", "long", F.row_number().over(each.orderBy("long", F.xxhash64("doc_id"), "doc_id")).alias("nth")).filter(F.col("nth") <= most)
+    picked = first.withColumn("only", F.min("long").over(each)).filter(F.col("long") == F.col("only")).select("doc_id", "lang", "long").distinct()
+    sample = rows.join(F.broadcast(picked), ["doc_id", "lang", "long"], "left_semi").orderBy("lang", F.xxhash64("doc_id"), "doc_id").select("lang", "text")
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            for at in range(0, b.num_rows, 512):  # bounds the n-gram table
+                part = b.slice(at, 512)
+                yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array([x.tobytes() for x in gram_shares(*flat(part.column("text")))], pa.binary())], ["lang", "shares"])
+
+    told = sample.mapInArrow(shares, "lang string, shares binary").toArrow()  # 16 KB a row, however long its text
+    xs = [np.frombuffer(b"".join(b.column("shares").to_pylist()), np.float32).reshape(-1, BUCKETS) for b in told.to_batches()]
+    return fit_codebook(np.concatenate(xs), told.column("lang").to_pylist()) if xs and told.num_rows else None
 
 
 def language_id(docs: DataFrame, book: Codebook | None) -> DataFrame:
