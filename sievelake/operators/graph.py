@@ -10,6 +10,7 @@ several paths tie, each node's predecessor on the path is the lowest that can be
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 import tempfile
 from collections import defaultdict
@@ -20,7 +21,6 @@ from pyspark.sql import functions as F
 
 EDGES = "src bigint, dst bigint, label string, weight double"
 LOCAL_EDGES = 100_000
-ROUNDS = 10_000  # of a walk that has no bound of its own
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -155,7 +155,7 @@ class GraphStore:
         edges = self._selected(label).select("src", "dst").distinct().persist()
         seen = self._frame([(start, 0, None)], "id bigint, depth int, parent bigint")
         frontier = seen.select("id")
-        for depth in range(1, ROUNDS):
+        for depth in itertools.count(1):  # ends, since each step needs nodes that are new
             if max_depth is not None and depth > max_depth:
                 break
             found = edges.join(frontier, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("next")).agg(F.min("src").alias("parent"))
@@ -192,10 +192,13 @@ class GraphStore:
         tight = self._usable(label).join(dist.withColumnsRenamed({"id": "src", "dist": "from"}), "src").join(dist.withColumnsRenamed({"id": "dst", "dist": "to"}), "dst").filter(F.col("from") + F.col("weight") == F.col("to")).select("src", "dst", "weight").persist()
         path, avoid = [target], {target}
         while path[-1] != start:
-            # a step that adds weight is nearer to the start; steps of no weight may circle, so seen nodes come last
-            steps = [(r["src"] in avoid, r["src"]) for r in tight.filter(F.col("dst") == path[-1]).groupBy("dst", "src").agg(F.max("weight")).orderBy("src").limit(1000).collect()]
-            path.append(min(steps)[1])
-            avoid.add(path[-1])
+            # a step that adds weight is nearer to the start; steps of no weight may circle, so no node is taken twice
+            step = tight.filter((F.col("dst") == path[-1]) & ~F.col("src").isin(list(avoid))).agg(F.min("src")).first()[0]
+            if step is None:
+                path.pop()  # leads only back to where we were
+            else:
+                path.append(step)
+                avoid.add(step)
         dist.unpersist()
         tight.unpersist()
         return path[::-1], end["dist"]
@@ -207,14 +210,13 @@ class GraphStore:
         edges = self._usable(label).groupBy("src", "dst").agg(F.min("weight").alias("weight")).persist()
         dist = self._frame([(start, 0.0)], "id bigint, dist double")
         changed = dist
-        for _ in range(ROUNDS):
+        while True:  # ends after as many rounds as a lightest path has edges
             step = edges.join(changed, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("next")).agg(F.min(F.col("dist") + F.col("weight")).alias("new"))
             both = checkpointed(dist.join(step, F.col("id") == F.col("next"), "full").select(F.coalesce("id", "next").alias("id"), F.least("dist", "new").alias("dist"), (F.col("dist").isNull() | (F.col("new") < F.col("dist"))).alias("better")))
             dist, changed = both.select("id", "dist"), both.filter("better").select("id", "dist")
             if changed.isEmpty():
                 edges.unpersist()
                 return dist
-        raise RuntimeError(f"distances have not settled after {ROUNDS} rounds")
 
     # --- rank ---
 
