@@ -10,7 +10,7 @@
    pair is confirmed exactly; again only a spanning forest of the links goes on. Its components are the result.
 
 No bucket, cluster or set of partners is cut short. A link is missed only if no band of its two documents
-agrees or its sketches differ beyond MOST_DIFFERING: for a similarity of 0.8 less than once in 10**7.
+agrees or its sketches differ beyond MOST_DIFFERING: for a similarity of 0.8 less than 3 times in 10**7.
 
 Results for the special cases: null and empty texts and texts of white space have no shingles and are linked
 with nothing; with fewer words than a shingle the whole sequence is one; rows equal in id are documents of
