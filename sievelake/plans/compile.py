@@ -52,8 +52,12 @@ def column_family(kind: T.DataType | None) -> str | None:
     return "other"
 
 
+def column_name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def column(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(column_name(name))
 
 
 def _variant(c: Column, of: str, kind: str) -> Column:

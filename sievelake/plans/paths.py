@@ -4,8 +4,10 @@ A query's predicates call for paths: a kind of path and an attribute. A sorted p
 the attribute in a cached columnar table, whose batches carry bounds that a scan skips by; a words or trigrams
 path is a cached table of postings, which gives the ids of candidates before records are read. Paths are built
 when first called for, scored by use, age and cost of building, and dropped lowest score first when they
-outgrow the budget; one whose estimated size is beyond the budget isn't built at all. Every query can be answered without any of them, so dropping never changes an answer; and a
-path is of one version of the store, so a change drops it too.
+outgrow the budget; one whose estimated size is beyond the budget isn't built at all, which is remembered. Every
+query can be answered without any of them, so dropping never changes an answer. Records that came after a path was
+built are read beside it, and deleted ones left out, so a path outlives changes until the store rewrites its parts.
+Paths are arranged by (value, id) or (term, id) ranges, so a common value or term is spread over several tasks.
 """
 
 from __future__ import annotations
@@ -41,7 +43,8 @@ COST_WEIGHT = 0.1
 class Path:
     kind: str
     attribute: str
-    version: int
+    epoch: int
+    parts: int  # of the store, which it holds
     frame: DataFrame
     size: int
     cost: float
@@ -58,6 +61,8 @@ class AccessPaths:
     budget: int
     enabled: bool = True
     live: dict[tuple[str, str], Path] = field(default_factory=dict)
+    refused: dict[tuple[str, str], tuple[int, int]] = field(default_factory=dict)  # the epoch and parts for which it was too large
+    building: set[tuple[str, str]] = field(default_factory=set)
     lock: threading.RLock = field(default_factory=threading.RLock)
 
     # --- configuration ---
@@ -65,6 +70,7 @@ class AccessPaths:
     def set_budget(self, size: int) -> None:
         with self.lock:
             self.budget = size
+            self.refused.clear()
             self._evict()
 
     def inventory(self) -> list[tuple[str, str, int]]:
@@ -86,41 +92,56 @@ class AccessPaths:
         if not self.enabled or query.where is None:
             return None
         with self.lock:
-            for key in [k for k, p in self.live.items() if p.version != store.version]:
+            for key in [k for k, p in self.live.items() if p.epoch != store.epoch]:
                 self._drop(key)
             if self.budget <= 0:
                 return None
-            used = [p for q in predicates(query.where) if (p := self._path(store, q))]
+        used = [p for q in predicates(query.where) if (p := self._path(store, q))]
+        with self.lock:
             self._evict()
-            used = [p for p in used if self.live.get((p.kind, p.attribute)) is p]
-            top = _all_of(query.where)
-            by = [(p, q) for q in top for p in used if p.attribute == q.attribute and p.kind in PATHS[q.kind]]
-            from sievelake.store import ID
-
-            postings = [ids for p, q in by if p.kind in POSTINGS and (ids := _candidates(p, q)) is not None]
-            arranged = next((p.frame for p, q in by if p.kind not in POSTINGS), None)
-            if arranged is None and not postings:
-                return None
-            rows = arranged if arranged is not None else store.frame()
-            for ids in postings:
-                rows = rows.join(ids, ID, "left_semi")
-            return apply_query(rows, query, ID, store.points)  # verifies every candidate
+            used = [p for p in used if self.live.get((p.kind, p.attribute)) is p and p.epoch == store.epoch]
+        from sievelake.store import ID
 
-    def _path(self, store: Store, q: Predicate) -> Path | None:
-        for kind in PATHS[q.kind]:
-            if (found := self.live.get((kind, q.attribute))) is not None:
-                found.hits += 1
-                return found
-        frame = _built(store, PATHS[q.kind][0], q.attribute)
-        if frame is None or _estimate(frame, store) > self.budget:  # it would be dropped as soon as it is there
+        by = [(p, q) for q in _all_of(query.where) for p in used if p.attribute == q.attribute and p.kind in PATHS[q.kind]]
+        postings = [(p, ids) for p, q in by if p.kind in POSTINGS and (ids := _candidates(p, q)) is not None]
+        arranged = next((p for p, _ in by if p.kind not in POSTINGS), None)
+        if arranged is None and not postings:
             return None
-        begun = time.monotonic()
-        frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
-        frame.count()
-        size = _stated_size(frame)
-        now = time.monotonic()
-        path = self.live[PATHS[q.kind][0], q.attribute] = Path(PATHS[q.kind][0], q.attribute, store.version, frame, size, now - begun, now)
-        return path
+        rows = store.frame() if arranged is None else store.with_later(arranged.frame, arranged.parts)
+        for p, ids in postings:
+            later = store.since(p.parts)  # which has no postings yet
+            rows = rows.join(ids if later is None else ids.unionByName(later.select(ID)), ID, "left_semi")
+        return apply_query(rows, query, ID, store.points)  # verifies every candidate
+
+    def _path(self, store: Store, q: Predicate) -> Path | None:
+        key = PATHS[q.kind][0], q.attribute
+        with self.lock:
+            for kind in PATHS[q.kind]:
+                if (found := self.live.get((kind, q.attribute))) is not None:
+                    found.hits += 1
+                    return found
+            if key in self.building:  # by another thread, whose path later queries find
+                return None
+            self.building.add(key)
+        try:
+            frame, epoch, parts = store.settled()
+            if self.refused.get(key) == (epoch, parts):
+                return None
+            built = _built(store, frame, *key)
+            if built is None or _estimate(built, frame) > self.budget:  # it would be dropped as soon as it is there
+                self.refused[key] = (epoch, parts)
+                return None
+            begun = time.monotonic()
+            built = built.persist(StorageLevel.MEMORY_AND_DISK)
+            built.count()
+            now = time.monotonic()
+            path = Path(*key, epoch, parts, built, _stated_size(built), now - begun, now)
+            with self.lock:
+                self.live[key] = path
+            return path
+        finally:
+            with self.lock:
+                self.building.discard(key)
 
 
 UNKNOWN = 1 << 50  # from here on the optimizer could not tell, and starts from the largest number there is
@@ -131,12 +152,12 @@ def _stated_size(frame: DataFrame) -> int:
     return int(str(plan.stats().sizeInBytes()))
 
 
-def _estimate(frame: DataFrame, store: Store) -> int:
-    """About how large a path would be, without building it."""
-    stated = _stated_size(frame)
+def _estimate(path: DataFrame, records: DataFrame) -> int:
+    """About how large a path over the records would be, without building it."""
+    stated = _stated_size(path)
     if stated < UNKNOWN:
         return stated
-    records = store.frame()  # only their number is counted
+    # only the number of records is counted
     return records.count() * sum(8 if isinstance(f.dataType, T.NumericType) else 24 for f in records.schema.fields)
 
 
@@ -147,26 +168,21 @@ def _all_of(node: Node) -> list[Predicate]:
     return [p for c in node.children for p in _all_of(c)] if isinstance(node, And) else []
 
 
-def _built(store: Store, kind: str, attribute: str) -> DataFrame | None:
+def _built(store: Store, frame: DataFrame, kind: str, attribute: str) -> DataFrame | None:
     from sievelake.store import ID
 
-    frame = store.frame()
     types = {f.name: f.dataType for f in frame.schema.fields}
-    if kind == "spatial":
-        by = store.points.get(attribute, (attribute,))[0]
-        return frame.repartitionByRange(column(by)).sortWithinPartitions(column(by)) if by in types and not isinstance(types[by], T.VariantType) else None
-    if attribute not in types or isinstance(types[attribute], (T.VariantType, T.MapType)):
+    by = store.points.get(attribute, (attribute,))[0] if kind == "spatial" else attribute
+    if by not in types or isinstance(types[by], (T.VariantType, T.MapType)):
         return None
-    c = column(attribute)
-    if kind == "hash":
-        return frame.repartition(c)
-    if kind in ("sorted", "prefix"):
-        return frame.repartitionByRange(c).sortWithinPartitions(c)
-    if not isinstance(types[attribute], T.StringType):
+    c = column(by)
+    if kind not in POSTINGS:
+        return frame.repartitionByRange(c, F.col(ID)).sortWithinPartitions(c)
+    if not isinstance(types[by], T.StringType):
         return None
     terms = text.words(c) if kind == "words" else text.trigrams(c)
     rows = frame.filter(c.isNotNull()).select(F.explode(F.array_distinct(terms)).alias("term"), F.col(ID))
-    return rows.repartition("term").sortWithinPartitions("term")
+    return rows.repartitionByRange("term", ID).sortWithinPartitions("term")
 
 
 def _candidates(path: Path, q: Predicate) -> DataFrame | None:

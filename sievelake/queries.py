@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sievelake.operators.graph import GraphStore
 from sievelake.operators.sketch import bloom_table, count_table
 from sievelake.plans.builder import QueryBuilder
+from sievelake.shared import checkpointed, remove_path, scratch_path
 from sievelake.store import ID, Store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +42,26 @@ def _find(name: str, source: str, id_column: str, columns: list[str], ask: Calla
         return ask(store.find()).execute().select(*columns)
 
 
+def _served(store: Store, query: QueryBuilder) -> DataFrame:
+    """The query's rows by way of access paths: an error if none serves it."""
+    out = store.paths.serve(store, query.query())
+    if out is None:
+        raise RuntimeError("no access path serves this query")
+    return out
+
+
+def _find_by_path(name: str, kind: str, source: str, id_column: str, columns: list[str], ask: Callable[[QueryBuilder], QueryBuilder], where: str) -> None:
+    """The same, with the rows read through a path of this kind."""
+
+    @register(f"{name}_by_path", f"SELECT {', '.join(columns)} FROM {source} WHERE {where}")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        store = Store.from_df(table(spark, sf_dir, source), id_column, memory_budget=1 << 40)
+        out = _served(store, ask(store.find()))
+        if {k for k, _, _ in store.index_inventory()} != {kind}:
+            raise RuntimeError(f"served by {store.index_inventory()}, not by {kind}")
+        return out.select(*columns)
+
+
 PART = ("part", "p_partkey", ["p_partkey", "p_name", "p_brand", "p_size", "p_retailprice"])
 CUSTOMER = ("customer", "c_custkey", ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"])
 ORDERS = ("orders", "o_orderkey", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"])
@@ -74,13 +95,20 @@ _find("substring", *PART, lambda q: q.substring("p_name", "E AN"), "contains(low
 _find("substring_short", *PART, lambda q: q.substring("p_name", "b"), "contains(lower(p_name), 'b')")
 _find("substring_literal", *PART, lambda q: q.substring("p_name", "%"), "contains(p_name, '%')")
 
+_find_by_path("equals", "hash", *PART, lambda q: q.equals("p_brand", "Brand#2"), "p_brand = 'Brand#2'")
+_find_by_path("range", "sorted", *PART, lambda q: q.range("p_retailprice", 950, 1200.5), "p_retailprice BETWEEN 950 AND 1200.5")
+_find_by_path("prefix", "prefix", *PART, lambda q: q.prefix("p_name", "blue"), "starts_with(p_name, 'blue')")
+_find_by_path("contains", "words", *DOCS, lambda q: q.contains("text", "The"), _words.format("the"))
+_find_by_path("fuzzy", "trigrams", *PART, lambda q: q.fuzzy("p_name", "blue anvl", 0.4), f"{_shared} / (len({_mine}) + len({_theirs}) - {_shared}) >= 0.4")
+_find_by_path("substring", "trigrams", *PART, lambda q: q.substring("p_name", "E AN"), "contains(lower(p_name), 'e an')")
+
 _PLANE = "SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings"
 
 
-def _plane(spark: SparkSession, sf_dir: str) -> Store:
+def _plane(spark: SparkSession, sf_dir: str, paths: bool = False) -> Store:
     e = table(spark, sf_dir, "embeddings")
-    store = Store.from_df(e.select("vec_id", F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y")), "vec_id", {"loc": ("x", "y")})
-    store.paths.enabled = False
+    store = Store.from_df(e.select("vec_id", F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y")), "vec_id", {"loc": ("x", "y")}, 1 << 40)
+    store.paths.enabled = paths
     return store
 
 
@@ -94,6 +122,18 @@ def near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plane(spark, sf_dir).find().near("loc", 0.0, 0.0, 0.1).execute()
 
 
+@register("within_box_by_path", f"SELECT * FROM ({_PLANE}) WHERE x BETWEEN -0.1 AND 0.1 AND y BETWEEN -0.05 AND 0.2")
+def within_box_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _plane(spark, sf_dir, paths=True)
+    return _served(store, store.find().within_box("loc", -0.1, -0.05, 0.1, 0.2)).drop(ID)
+
+
+@register("near_by_path", f"SELECT * FROM ({_PLANE}) WHERE x BETWEEN -0.1 AND 0.1 AND x * x + y * y <= 0.1 * 0.1")
+def near_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _plane(spark, sf_dir, paths=True)
+    return _served(store, store.find().near("loc", 0.0, 0.0, 0.1)).drop(ID)
+
+
 @register("near_top_k", f"SELECT * FROM ({_PLANE}) WHERE x * x + y * y <= 0.2 * 0.2 ORDER BY y DESC, vec_id LIMIT 10")
 def near_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plane(spark, sf_dir).find().near("loc", 0.0, 0.0, 0.2).top_k("y", 10).execute()
@@ -222,17 +262,89 @@ def index_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([x[:2] for x in store.index_inventory()], "type string, attribute string")
 
 
+@register("path_reused", "SELECT * FROM (VALUES ('sorted', 'p_size'), ('prefix', 'p_name')) t(type, attribute)")
+def path_reused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equality is answered by a sorted or prefix path that is there; no hash path is built beside it."""
+    store = Store.from_df(table(spark, sf_dir, "part"), "p_partkey", memory_budget=1 << 40)
+    for query in (store.find().range("p_size", 5, 40), store.find().prefix("p_name", "blue"), store.find().equals("p_size", 7), store.find().equals("p_name", "blue anvil")):
+        _served(store, query)
+    return spark.createDataFrame([x[:2] for x in store.index_inventory()], "type string, attribute string")
+
+
+@register("eviction_keeps_used", "SELECT * FROM (VALUES ('sorted', 'p_size')) t(type, attribute)")
+def eviction_keeps_used(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With room for one path, the one that has been used more stays."""
+    store = Store.from_df(table(spark, sf_dir, "part"), "p_partkey", memory_budget=1 << 40)
+    for _ in range(40):
+        _served(store, store.find().range("p_size", 5, 40))
+    _served(store, store.find().range("p_retailprice", 900, 1000))
+    store.set_memory_budget(max(size for _, _, size in store.index_inventory()))
+    return spark.createDataFrame([x[:2] for x in store.index_inventory()], "type string, attribute string")
+
+
+@register("paths_after_changes", "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' AND contains(c_name, '00001') AND c_custkey <> 1000 AND c_acctbal >= 0 UNION ALL SELECT c_custkey, 'new ' || c_name FROM customer WHERE c_mktsegment = 'BUILDING' AND contains(c_name, '00001') AND c_nationkey = 7")
+def paths_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths outlive inserts and deletes: what came later is read beside them, what went is left out."""
+    customers = table(spark, sf_dir, "customer")
+    store = Store.from_df(customers, "c_custkey", memory_budget=1 << 40)
+    query = store.find().equals("c_mktsegment", "BUILDING").substring("c_name", "00001")
+    _served(store, query)
+    built = store.index_inventory()
+    store.delete(1000)
+    store.delete_many(store.find().range("c_acctbal", float("-inf"), -5e-324).execute(with_id=True).select(ID))
+    store.insert_frame(customers.filter("c_nationkey = 7").withColumn("c_name", F.concat(F.lit("new "), "c_name")))
+    out = _served(store, query).select("c_custkey", "c_name")
+    if not set(built) <= set(store.index_inventory()):
+        raise RuntimeError("a path was dropped")
+    return out
+
+
+def _reloaded(spark: SparkSession, store: Store, format: str, edges: bool = False) -> DataFrame:  # noqa: A002
+    """The rows, or edges, of a store that was saved and loaded again."""
+    where = scratch_path(spark, "snapshot")
+    store.save(where, format)
+    again = Store.load(spark, where, format=format)
+    out = checkpointed(again.graph.edges() if edges else again.find().execute())
+    remove_path(spark, where)
+    return out
+
+
 @register("snapshot_roundtrip", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import tempfile
+    return _reloaded(spark, Store.from_df(table(spark, sf_dir, "nation"), "n_nationkey"), "parquet").select("n_nationkey", "n_name", "n_regionkey")
+
 
-    from sievelake.operators.graph import checkpointed
+@register("json_roundtrip", "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal FROM customer")
+def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Integers come back as longs, doubles as doubles."""
+    return _reloaded(spark, _customers(spark, sf_dir), "json").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
 
-    checkpointed(spark.range(1))  # sees to a checkpoint folder, which all executors share
-    base = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
-    where = f"{base.rstrip('/')}/snapshot-{abs(hash(sf_dir)) % 10**8}"
-    Store.from_df(table(spark, sf_dir, "nation"), "n_nationkey").save(where)
-    return Store.load(spark, where).find().execute().select("n_nationkey", "n_name", "n_regionkey")
+
+@register("json_roundtrip_missing", "SELECT c_custkey AS pid, c_name AS name, c_mktsegment AS segment FROM customer UNION ALL SELECT s_suppkey + 1000000000, s_name, NULL FROM supplier")
+def json_roundtrip_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes that a record lacks are not written, and are missing again."""
+    return _reloaded(spark, _parties(spark, sf_dir), "json").select("pid", "name", "segment")
+
+
+@register("json_roundtrip_mixed", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN CAST(p_size AS VARCHAR) ELSE NULL END AS told FROM part")
+def json_roundtrip_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An attribute of two families (numbers of some records, strings of others) keeps each record's own."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    store = Store(spark)
+    store.insert_frame(parts.filter("p_size % 3 = 0").select("p_partkey", F.col("p_size").cast("string").alias("told")))
+    store.insert_frame(parts.filter("p_size % 3 <> 0").select("p_partkey", F.col("p_size").alias("told")))
+    kind = F.schema_of_variant("told")
+    return _reloaded(spark, store, "json").select("p_partkey", F.when(kind == "STRING", F.try_variant_get("told", "$", "string")).alias("told"))
+
+
+@register("parts_rewritten", "SELECT p_partkey, p_size FROM part WHERE p_size BETWEEN 5 AND 40")
+def parts_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty inserts, which are written together on the way."""
+    store = Store(spark)
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    for k in range(20):
+        store.insert_frame(parts.filter(F.col("p_partkey") % 20 == k))
+    return store.find().range("p_size", 5, 40).execute()
 
 
 # --- sketches ------------------------------------------------------------------------------------------
@@ -274,6 +386,27 @@ def cms_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.estimate_count_each("o_orderpriority", kinds)
 
 
+@register("bloom_custom_size", f"SELECT DISTINCT unnest([{', '.join(_hex.format('event_type', 1 + 8 * i) + ' % 1009' for i in range(3))}]) AS pos FROM events")
+def bloom_custom_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_table(table(spark, sf_dir, "events"), "event_type", 1009, 3)
+
+
+_few = " UNION ALL ".join(f"SELECT {r} AS row, CAST(('0x' || substr(md5(encode(o_orderpriority) || '\\x{r:02x}'::BLOB), 1, 8)) AS BIGINT) % 101 AS col FROM orders" for r in range(3))
+
+
+@register("count_min_custom_size", f"SELECT row, col, count(*) AS cnt FROM ({_few}) GROUP BY row, col")
+def count_min_custom_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_table(table(spark, sf_dir, "orders"), "o_orderpriority", 3, 101)
+
+
+@register("bloom_custom_store", "SELECT DISTINCT event_type, true AS maybe FROM events")
+def bloom_custom_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No value that was seen is ever denied, however small the sketch."""
+    store = Store.from_df(table(spark, sf_dir, "events"), "event_id")
+    store.size_sketches(bits=101, hashes=2)
+    return store.maybe_contains_each("event_type", store.frame().select("event_type"))
+
+
 # --- graphs --------------------------------------------------------------------------------------------
 
 #: customer or supplier -> nation -> region: a forest, so paths are unique. Ids are set apart by table.
@@ -400,6 +533,40 @@ def path_weighted_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(found[1],)] if found else [], "cost double")
 
 
+_LIGHTEST = _relax(12) + f""", t AS MATERIALIZED (SELECT src, dst FROM e JOIN d12 a ON a.id = src JOIN d12 b ON b.id = dst WHERE a.dist + weight = b.dist),
+  l0 AS MATERIALIZED (SELECT CAST(3 AS BIGINT) AS id, 0 AS depth, CAST(NULL AS BIGINT) AS parent), {', '.join(
+    f"l{k + 1} AS MATERIALIZED (SELECT * FROM l{k} UNION ALL SELECT dst, {k + 1}, min(src) FROM t JOIN l{k} f ON f.id = src AND f.depth = {k} WHERE dst NOT IN (SELECT id FROM l{k}) GROUP BY dst)" for k in range(12))},
+  back AS (SELECT id, depth, parent FROM l12 WHERE id = 11 UNION ALL SELECT l.id, l.depth, l.parent FROM back JOIN l12 l ON l.id = back.parent)
+SELECT CAST(depth AS INTEGER) AS step, id FROM back"""
+_LIGHTEST = _LIGHTEST.replace("WITH ", "WITH RECURSIVE ", 1).replace("dist FROM d11 JOIN e ON src = id) GROUP BY id) ,", "dist FROM d11 JOIN e ON src = id) GROUP BY id),")
+
+
+@register("path_weighted", _LIGHTEST)
+def path_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of a lightest path: of the fewest edges, then of the lowest predecessors."""
+    found = trade(spark, sf_dir).shortest_path_weighted(3, 11)
+    return _path_rows(spark, found and found[0])
+
+
+@register("path_weighted_nodes_distributed", _LIGHTEST)
+def path_weighted_nodes_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = trade(spark, sf_dir, local_edges=0).shortest_path_weighted(3, 11)
+    return _path_rows(spark, found and found[0])
+
+
+@register("weighted_neighbors", f"SELECT dst AS id, weight FROM {_TRADE} WHERE src = 3")
+def weighted_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trade(spark, sf_dir).weighted_neighbors(3)
+
+
+@register("add_edge", f"SELECT src, dst, label FROM {_TREE} UNION ALL SELECT 1, 2, 'friend' UNION ALL SELECT 2, 1, 'friend' UNION ALL SELECT 1, 3, NULL")
+def add_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = tree(spark, sf_dir)
+    graph.add_edge(1, 2, "friend")
+    graph.add_edge(1, 3, directed=True)
+    return graph.edges().select("src", "dst", "label")
+
+
 def _ranked(rounds: int) -> str:
     steps = [
         f"e AS MATERIALIZED (SELECT * FROM {_TRADE})", "n AS MATERIALIZED (SELECT src AS id FROM e UNION SELECT dst FROM e)", "c AS MATERIALIZED (SELECT count(*) AS n FROM n)",
@@ -411,14 +578,14 @@ def _ranked(rounds: int) -> str:
     return f"WITH {', '.join(steps)} SELECT id, round(rank, 9) AS rank FROM r{rounds}"
 
 
-@register("pagerank", _ranked(20))
+@register("pagerank", _ranked(30))
 def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trade(spark, sf_dir).pagerank(0.85, 20).select("id", F.round("rank", 9).alias("rank"))
+    return trade(spark, sf_dir).pagerank(0.85, 30).select("id", F.round("rank", 9).alias("rank"))
 
 
-@register("pagerank_distributed", _ranked(6))
+@register("pagerank_distributed", _ranked(30))
 def pagerank_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trade(spark, sf_dir, local_edges=0).pagerank(0.85, 6).select("id", F.round("rank", 9).alias("rank"))
+    return trade(spark, sf_dir, local_edges=0).pagerank(0.85, 30).select("id", F.round("rank", 9).alias("rank"))
 
 
 @register("remove_edge", f"SELECT * FROM {_TRADE} WHERE NOT (src = 1 AND dst = 2)")

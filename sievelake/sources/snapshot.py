@@ -8,6 +8,8 @@ one file suits; Parquet is for all others.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from itertools import chain
 from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +22,7 @@ if TYPE_CHECKING:
     from sievelake.store import Store
 
 VERSION = 1
+CHUNK = 1 << 20  # characters that are written at once
 INT, FLOAT, STRING, LIST = "Int", "Float", "String", "List"  # fixed values: tags of the JSON document
 _JSON = "version int, next_id bigint, records array<struct<id bigint, attrs map<string, variant>>>, edges array<struct<`from` bigint, `to` bigint, label string, weight double>>"
 
@@ -48,8 +51,7 @@ def load(spark: SparkSession, path: str, memory_budget: int | None = None, forma
         return _load_json(spark, path, memory_budget)
     out = Store(spark, memory_budget)
     meta = spark.read.parquet(f"{path}/meta").first()
-    out._parts = [spark.read.parquet(f"{path}/records")]
-    out._next = meta["next_id"]
+    out.start_with(spark.read.parquet(f"{path}/records"), meta["next_id"])
     out.points = {p["name"]: (p["x"], p["y"]) for p in meta["points"]}
     out.graph = GraphStore(spark, spark.read.parquet(f"{path}/edges"))
     return out
@@ -72,20 +74,39 @@ def untagged(value: dict[str, Any]) -> Any:
 
 
 def _save_json(store: Store, path: str) -> None:
+    """Writes record by record: the driver holds one partition of the store at a time."""
     from sievelake.store import ID
 
     store._take_ids(0)
-    records = []
-    for row in store.frame().toLocalIterator():
-        attrs = {k: (v.toPython() if isinstance(v, T.VariantVal) else v) for k, v in row.asDict().items() if k != ID and v is not None}
-        records.append({"id": row[ID], "attrs": {k: tagged(v) for k, v in attrs.items()}})
-    edges = [{"from": r["src"], "to": r["dst"], "label": r["label"], "weight": r["weight"]} for r in store.graph.edges().toLocalIterator()]
-    body = json.dumps({"version": VERSION, "next_id": store._next, "records": records, "edges": edges}, indent=2, ensure_ascii=False)
+
+    def records() -> Iterator[dict[str, Any]]:
+        for row in store.frame().toLocalIterator():
+            attrs = {k: (v.toPython() if isinstance(v, T.VariantVal) else v) for k, v in row.asDict().items() if k != ID and v is not None}
+            yield {"id": row[ID], "attrs": {k: tagged(v) for k, v in attrs.items()}}
+
+    def edges() -> Iterator[dict[str, Any]]:
+        for r in store.graph.edges().toLocalIterator():
+            yield {"from": r["src"], "to": r["dst"], "label": r["label"], "weight": r["weight"]}
+
+    def items(rows: Iterator[dict[str, Any]]) -> Iterator[str]:
+        between = ""
+        for row in rows:
+            yield between + json.dumps(row, ensure_ascii=False)
+            between = ",\n"
+
+    body = chain([f'{{"version": {VERSION}, "next_id": {store._next}, "records": [\n'], items(records()), ['\n], "edges": [\n'], items(edges()), ["\n]}\n"])
     jvm = store.spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     out = where.getFileSystem(store.spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
     try:
-        out.write(body.encode())
+        held, size = [], 0
+        for text in body:
+            held.append(text)
+            size += len(text)
+            if size > CHUNK:
+                out.write("".join(held).encode())
+                held, size = [], 0
+        out.write("".join(held).encode())
     finally:
         out.close()
 
@@ -119,9 +140,10 @@ def _load_json(spark: SparkSession, path: str, memory_budget: int | None) -> Sto
         else:
             columns.append(F.coalesce(*[_of_tag(v, t).cast("variant") for t in sorted(found)]).alias(name))
     frame = rows.select(*columns)
-    out._parts = [frame] if columns[1:] or not rows.isEmpty() else []
-    head = doc.select("next_id").first()
-    out._next = head["next_id"]
+    next_id = doc.select("next_id").first()["next_id"]
+    if columns[1:] or not rows.isEmpty():
+        out.start_with(frame, next_id)
+    out._next = next_id
     edges = doc.select(F.explode("edges").alias("e")).select(F.col("e.from").alias("src"), F.col("e.to").alias("dst"), F.col("e.label").alias("label"), F.coalesce("e.weight", F.lit(1.0)).alias("weight"))
     out.graph = GraphStore(spark, edges)
     return out

@@ -2,29 +2,36 @@
 
 Rows live in DataFrames that are never changed: an insert adds a part, a delete adds ids to leave out, and each
 change gives the store a new version. Attributes of all parts are merged by name; one that is of several
-families is kept as a VARIANT.
+families is kept as a VARIANT. MERGE parts of one tier are written together as one of the next tier, so that a
+store of very many inserts stays a union of few parts, and a row is rewritten once a tier.
 """
 
 from __future__ import annotations
 
 import threading
 from collections.abc import Iterable, Mapping
+from functools import reduce
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievelake.operators.graph import GraphStore, checkpointed
-from sievelake.operators.sketch import BloomSketch, CountMinSketch, bloom_asked, bloom_table, count_asked, count_table
+from sievelake.operators.graph import GraphStore
+from sievelake.operators.sketch import BLOOM_BITS, BLOOM_HASHES, COUNT_ROWS, COUNT_WIDTH, BloomSketch, CountMinSketch, bloom_asked, bloom_table, count_asked, count_table
 from sievelake.plans.builder import QueryBuilder
-from sievelake.plans.compile import apply_query, column, column_family, family, shape_of
+from sievelake.plans.compile import apply_query, column, column_family, column_name, family, shape_of
 from sievelake.plans.nodes import Query
 from sievelake.plans.paths import AccessPaths
+from sievelake.shared import checkpointed
 
 ID = "_id"
 DEFAULT_BUDGET = 64 << 20
 BUFFER_ROWS = 10_000  # single inserts that are kept as Python values before they become a part
+MERGE = 16  # parts of one tier, and sets of deleted ids, that are written together
+BASE = 1 << 30  # the tier of what the store began with
 
 
 def merged(parts: list[DataFrame]) -> DataFrame:
@@ -96,7 +103,11 @@ class Store:
         self.paths = AccessPaths(DEFAULT_BUDGET if memory_budget is None else memory_budget)
         self.version = 0
         self.points: dict[str, tuple[str, str]] = {}
+        self.epoch = 0  # of the list of parts: it only grows within one
+        self.bloom_size, self.count_size = (BLOOM_BITS, BLOOM_HASHES), (COUNT_ROWS, COUNT_WIDTH)
         self._parts: list[DataFrame] = []
+        self._tiers: list[int] = []
+        self._lost: list[dict[str, Any]] = []
         self._buffer: list[tuple[int, dict[str, Any]]] = []
         self._gone: set[int] = set()
         self._gone_frames: list[DataFrame] = []
@@ -116,8 +127,7 @@ class Store:
         if id is None:
             out.insert_frame(df)
         else:
-            out._parts = [df.withColumn(ID, column(id).cast("bigint"))]
-            out._next = -1  # found when an id is to be given
+            out.start_with(df.withColumn(ID, column(id).cast("bigint")), -1)  # found when an id is to be given
         return out
 
     # --- changes ---
@@ -152,21 +162,39 @@ class Store:
         """Add all rows of a DataFrame. Ids are contiguous: each partition gets a base from the sizes of those before."""
         with self._lock:
             self._flush()
-            pos = "sievelake pos"
+            pos, place, size, base = "sievelake pos", "sievelake partition", "sievelake size", "sievelake base"
             fixed = checkpointed(df.withColumn(pos, F.monotonically_increasing_id()))
-            place = F.shiftright(F.col(pos), 33)
-            sizes = {r[0]: r[1] for r in fixed.groupBy(place).count().collect()}  # one row for each partition
-            total = sum(sizes.values())
+            of = F.shiftright(F.col(pos), 33)
+            # one row for each partition, here and in the broadcast
+            sizes = fixed.groupBy(of.alias(place)).agg(F.count(F.lit(1)).alias(size)).toArrow().sort_by(place)
+            counts = sizes.column(size).to_numpy()
+            total = int(counts.sum())
             first = self._take_ids(total)
-            bases, at = [], first
-            for k in range(max(sizes, default=-1) + 1):
-                bases.append(at)
-                at += sizes.get(k, 0)
-            base = F.get(F.array(*[F.lit(b).cast("bigint") for b in bases]), place.cast("int")) if bases else F.lit(first)
-            self._parts.append(fixed.select((base + (F.col(pos).bitwiseAND(F.lit((1 << 33) - 1)))).alias(ID), *[column(c) for c in df.columns]))
+            bases = self.spark.createDataFrame(pa.table({place: sizes.column(place), base: first + np.cumsum(counts) - counts}))
+            told = fixed.join(F.broadcast(bases), of == F.col(place))
+            within = F.col(pos).bitwiseAND(F.lit((1 << 33) - 1))
+            self._add_part(told.select((F.col(base) + within).alias(ID), *[fixed[column_name(c)] for c in df.columns]))
             self._changed()
             return range(first, first + total)
 
+    def start_with(self, frame: DataFrame, next_id: int) -> None:
+        """Take a frame with ids as what the store holds; next_id below 0: one more than its largest id."""
+        with self._lock:
+            self._parts, self._tiers, self._buffer, self._gone, self._gone_frames, self._lost = [frame], [BASE], [], set(), [], []
+            self._next = next_id
+            self.epoch += 1
+            self._changed()
+
+    def _add_part(self, part: DataFrame) -> None:
+        tier = 0
+        self._parts.append(part)
+        self._tiers.append(tier)
+        while self._tiers[-MERGE:] == [tier] * MERGE:
+            whole = checkpointed(merged(self._parts[-MERGE:]))
+            tier += 1
+            self._parts[-MERGE:], self._tiers[-MERGE:] = [whole], [tier]
+            self.epoch += 1
+
     def delete(self, id: int) -> bool:  # noqa: A002
         """Remove a record and all edges that touch it; False if there is none. Sketches still know its values."""
         with self._lock:
@@ -186,41 +214,65 @@ class Store:
         """Remove the records whose ids are in a one-column DataFrame."""
         with self._lock:
             self._flush()
-            self._gone_frames.append(ids.select(F.col(ids.columns[0]).cast("bigint").alias(ID)))
-            self.graph.remove_nodes(ids)
+            gone = checkpointed(ids.select(F.col(ids.columns[0]).cast("bigint").alias(ID)).distinct())
+            self._gone_frames.append(gone)
+            if len(self._gone_frames) >= MERGE:
+                self._gone_frames = [checkpointed(reduce(DataFrame.unionByName, self._gone_frames).distinct())]
+            self.graph.remove_nodes(gone)
             self._changed()
 
     def _forgotten(self, attrs: list[dict[str, Any]]) -> None:
         """Values of records that went before they became a part: sketches keep them."""
-        self._lost = [*getattr(self, "_lost", []), *attrs]
+        self._lost = [*self._lost, *attrs]
 
     def _flush(self) -> None:
         if self._buffer:
-            self._parts.append(rows_frame(self.spark, self._buffer))
-            self._buffer = []
+            rows, self._buffer = rows_frame(self.spark, self._buffer), []
+            self._add_part(rows)
 
     # --- reads ---
 
+    def _all_parts(self) -> list[DataFrame]:
+        return [*self._parts, *([rows_frame(self.spark, self._buffer)] if self._buffer else [])]
+
     def _history(self) -> DataFrame:
         """All that was ever inserted."""
-        parts = [*self._parts, *([rows_frame(self.spark, self._buffer)] if self._buffer else [])]
-        if lost := getattr(self, "_lost", []):
-            parts.append(rows_frame(self.spark, [(-1, a) for a in lost]))
+        parts = self._all_parts()
+        if self._lost:
+            parts.append(rows_frame(self.spark, [(-1, a) for a in self._lost]))
         return merged(parts) if parts else self.spark.createDataFrame([], f"{ID} bigint")
 
     def frame(self) -> DataFrame:
         """The live records, with their ids."""
         with self._lock:
             if self._frame is None or self._frame[0] != self.version:
-                parts = [*self._parts, *([rows_frame(self.spark, self._buffer)] if self._buffer else [])]
-                out = merged(parts) if parts else self.spark.createDataFrame([], f"{ID} bigint")
-                if self._gone:
-                    out = out.filter(~F.col(ID).isin(sorted(self._gone))) if len(self._gone) <= 1000 else out.join(self.spark.createDataFrame([(i,) for i in sorted(self._gone)], f"{ID} bigint"), ID, "left_anti")
-                for ids in self._gone_frames:
-                    out = out.join(ids, ID, "left_anti")
-                self._frame = (self.version, out)
+                parts = self._all_parts()
+                self._frame = (self.version, self._live(merged(parts)) if parts else self.spark.createDataFrame([], f"{ID} bigint"))
             return self._frame[1]
 
+    def _live(self, rows: DataFrame) -> DataFrame:
+        if self._gone:
+            rows = rows.filter(~F.col(ID).isin(sorted(self._gone))) if len(self._gone) <= 1000 else rows.join(self.spark.createDataFrame(pa.table({ID: sorted(self._gone)})), ID, "left_anti")
+        return rows.join(reduce(DataFrame.unionByName, self._gone_frames), ID, "left_anti") if self._gone_frames else rows
+
+    def settled(self) -> tuple[DataFrame, int, int]:
+        """The live records, the epoch, and the number of parts that hold them: what an access path is built from."""
+        with self._lock:
+            self._flush()
+            return self.frame(), self.epoch, len(self._parts)
+
+    def since(self, parts: int) -> DataFrame | None:
+        """All records that came after so many parts of this epoch, or None."""
+        with self._lock:
+            more = self._all_parts()[parts:]
+            return merged(more) if more else None
+
+    def with_later(self, rows: DataFrame, parts: int) -> DataFrame:
+        """The live records, from those of so many parts and all that came after."""
+        with self._lock:
+            more = self.since(parts)
+            return self._live(rows if more is None else merged([rows, more]))
+
     def get(self, id: int) -> dict[str, Any] | None:  # noqa: A002
         """A record's attributes, without those that it lacks; None for an unknown id."""
         found = self.frame().filter(F.col(ID) == id).limit(1).collect()
@@ -255,7 +307,7 @@ class Store:
                 if attribute not in history.columns or attribute == ID:
                     return None
                 self._sketches = {k: v for k, v in self._sketches.items() if k[2] == self.version}
-                self._sketches[key] = kind.of(history, attribute)
+                self._sketches[key] = kind.of(history, attribute, *(self.bloom_size if kind is BloomSketch else self.count_size))
             return self._sketches[key]
 
     def maybe_contains(self, attribute: str, value: Any) -> bool:
@@ -270,18 +322,25 @@ class Store:
 
     def maybe_contains_each(self, attribute: str, values: DataFrame) -> DataFrame:
         """The same of all distinct values in a DataFrame's column of that name, with the answers as column maybe."""
-        return bloom_asked(bloom_table(self._history(), attribute), values, attribute)
+        return bloom_asked(bloom_table(self._history(), attribute, *self.bloom_size), values, attribute, *self.bloom_size)
 
     def estimate_count_each(self, attribute: str, values: DataFrame) -> DataFrame:
         """The same of all distinct values in a DataFrame's column of that name, with the answers as column estimate."""
-        return count_asked(count_table(self._history(), attribute), values, attribute)
+        return count_asked(count_table(self._history(), attribute, *self.count_size), values, attribute, *self.count_size)
+
+    def size_sketches(self, bits: int = BLOOM_BITS, hashes: int = BLOOM_HASHES, rows: int = COUNT_ROWS, width: int = COUNT_WIDTH) -> None:
+        """Sizes of the sketches from now on: bits and hashes of Bloom, rows and width of Count-Min ones."""
+        if min(bits, hashes, rows, width) < 1 or rows > 256:
+            raise ValueError("sketch sizes are 1 at least, and at most 256 rows")
+        with self._lock:
+            self.bloom_size, self.count_size = (bits, hashes), (rows, width)
+            self._sketches = {}
 
     def rebuild_sketches(self) -> None:
         """Forget values of deleted records, as a save and load does."""
         with self._lock:
-            live = self.frame()
-            self._parts, self._buffer, self._gone, self._gone_frames, self._lost = [live], [], set(), [], []
-            self._changed()
+            self._take_ids(0)
+            self.start_with(self.frame(), self._next)
 
     # --- graph ---
 
@@ -297,6 +356,9 @@ class Store:
     def neighbors(self, id: int, label: str | None = None) -> DataFrame:  # noqa: A002
         return self.graph.neighbors(id, label)
 
+    def weighted_neighbors(self, id: int, label: str | None = None) -> DataFrame:  # noqa: A002
+        return self.graph.weighted_neighbors(id, label)
+
     def bfs(self, start: int, max_depth: int | None = None, label: str | None = None) -> DataFrame:
         return self.graph.bfs(start, max_depth, label)
 
