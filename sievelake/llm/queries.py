@@ -92,6 +92,23 @@ def op7_two_stage_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digests(documents(spark, sf_dir), size=400)
 
 
+#: Every window by its digest; covered bytes as runs; what lies between them, and its characters that are whole.
+OP7_SQL = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS MATERIALIZED (SELECT r, i, md5(b[i:i + 399]) AS k FROM (SELECT r, b, unnest(range(1, octet_length(b) - 398)) AS i FROM d)),
+hit AS (SELECT r, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+edge AS (SELECT r, i, coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i) > 400, true) AS new FROM hit),
+run AS (SELECT r, i, sum(new::INTEGER) OVER (PARTITION BY r ORDER BY i) AS g FROM edge),
+span AS MATERIALIZED (SELECT r, min(i) AS s, max(i) + 399 AS e FROM run GROUP BY r, g),
+cut AS (SELECT r, s, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) + 1 AS f FROM span
+        UNION ALL SELECT r, octet_length(b) + 1, NULL, coalesce((SELECT max(e) FROM span WHERE span.r = d.r), 0) + 1 FROM d),
+piece AS (SELECT r, s, e, CASE WHEN f < s THEN hex(b[f:s - 1]) ELSE '' END AS h FROM cut JOIN d USING (r)),
+kept AS (SELECT r, CAST(coalesce(sum(e - s + 1), 0) AS BIGINT) AS n_removed, count(e) AS n_spans, string_agg(h, '' ORDER BY s) AS h,
+         string_agg(regexp_replace(regexp_replace(h, '^([89AB][0-9A-F])+', ''), '([CD][0-9A-F]|E[0-9A-F]([89AB][0-9A-F])?|F[0-7]([89AB][0-9A-F]){0,2})$', ''), '' ORDER BY s) AS t FROM piece GROUP BY r)
+SELECT doc_id, octet_length(b) AS n_bytes, n_removed, n_spans, sha256(unhex(h)) AS kept_sha256, decode(unhex(t)) AS text FROM kept JOIN d USING (r)
+"""
+
+
 def op8_patricia_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -115,4 +132,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_sentence_rules": license_sql(), "op6_odd_sketch_minhash": OP6_SQL, "op8_patricia_exact_dedup": OP8_SQL}
+    return {"op1_license_sentence_rules": license_sql(), "op6_odd_sketch_minhash": OP6_SQL, "op7_two_stage_suffix_dedup": OP7_SQL, "op8_patricia_exact_dedup": OP8_SQL}
