@@ -9,8 +9,6 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievelake.shared import checkpointed, remove_path, scratch_path, shared_dir  # noqa: F401
+
 BATCH_BYTES = 8 << 20  # of one Arrow batch that goes to Python; a single longer row still passes
 
 
@@ -28,17 +28,8 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; one of our own only where it is unset."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="sievelake-"))
-    return found or sc.getCheckpointDir()
-
-
-HEAVY = 500
-LIGHT_ROWS = 20_000  # fewer rows of one key are no burden to a task
+HEAVY = 50_000  # keys that are spread at most; what is broadcast of them is a few MB
+LIGHT_ROWS = 64  # so many rows of one key are no burden to a task
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -49,13 +40,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def spread_join(rows: DataFrame, counts: DataFrame, key: str, other: Column, n: int) -> DataFrame:
     """`rows` inner-joined with `counts`: a column `key` that is unique there, m (how many rows have it) and others.
 
-    Keys with more than one in HEAVY of the n rows, of which there can't be more than HEAVY, are looked up by a
-    broadcast and their rows spread by `other`, which is of the key's type, so that no task has all of them.
+    Keys with more than LIGHT_ROWS rows and more than one in HEAVY of the n rows, of which there can't be more than
+    HEAVY, are looked up by a broadcast and their rows spread by `other`, which is of the key's type, so that no task
+    has all of them. A key that isn't spread has 2 * 10^5 rows at most where there are 10^10.
     """
     mine, more = "spread key", [c for c in counts.columns if c != key]
-    if n < LIGHT_ROWS:
-        return rows.join(counts, key)
-    heavy = counts.filter(F.col("m") > n // HEAVY).select(F.col(key).alias("heavy key"), *[F.col(c).alias(f"heavy {c}") for c in more])
+    heavy = counts.filter(F.col("m") > max(n // HEAVY, LIGHT_ROWS)).select(F.col(key).alias("heavy key"), *[F.col(c).alias(f"heavy {c}") for c in more])
     marked = rows.join(F.broadcast(heavy), F.col(key) == F.col("heavy key"), "left")
     spread = F.when(F.col("heavy key").isNull(), F.col(key)).otherwise(other)
     met = marked.join(counts.withColumnRenamed(key, mine), spread == F.col(mine), "left").filter(f"`heavy key` IS NOT NULL OR `{mine}` IS NOT NULL")
@@ -63,23 +53,6 @@ def spread_join(rows: DataFrame, counts: DataFrame, key: str, other: Column, n:
     return met.select(*[rows[c] for c in rows.columns], *[F.when(light, F.col(c)).otherwise(F.col(f"heavy {c}")).alias(c) for c in more])
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and go on from there: lost executors don't undo it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def remove_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder through Hadoop's file systems, wherever it lies."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of what has been written: it does when the driver's JVM collects its garbage.
 
