@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,10 +22,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found or sc.getCheckpointDir()
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """What is planned inside removes its shuffles' files as soon as it has run. For results that are written and read
+    again from there, so that nothing needs those files a second time."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and go on from there: lost executors don't undo it."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    with shuffles_freed(df.sparkSession):
+        return df.select("*").checkpoint()  # a plan of its own
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
