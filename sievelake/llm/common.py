@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.shared import checkpointed, remove_path, scratch_path, shared_dir  # noqa: F401
+from sievelake.shared import checkpointed, remove_path, scratch_path, shared_dir, shuffles_freed  # noqa: F401
 
 BATCH_BYTES = 8 << 20  # of one Arrow batch that goes to Python; a single longer row still passes
 
@@ -53,16 +53,6 @@ def spread_join(rows: DataFrame, counts: DataFrame, key: str, other: Column, n:
     return met.select(*[rows[c] for c in rows.columns], *[F.when(light, F.col(c)).otherwise(F.col(f"heavy {c}")).alias(c) for c in more])
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of what has been written: it does when the driver's JVM collects its garbage.
-
-    Spark's listeners hold on to the last query that ran, so an empty one goes first.
-    """
-    gc.collect()
-    spark.range(1).count()
-    spark.sparkContext._jvm.System.gc()
-
-
 def likely_partitions(df: DataFrame) -> int:
     """About how many tasks read `df`, from the optimizer's size estimate; runs nothing."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

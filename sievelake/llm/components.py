@@ -2,12 +2,12 @@
 
 Each round takes the least neighbour of every node by an aggregation (combined before the shuffle) and joins it
 back to the edges, so that no task has all edges of a node with very many. Rounds end when the edges are stars
-that no longer change; each is cut off by a checkpoint.
+around the least node of each component, which those that begin so are at once; each is cut off by a checkpoint.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievelake.llm.common import checkpointed, spread_join
@@ -22,7 +22,13 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 def _with_least(pairs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """The pairs with `low`, the least b that their a has, and those lows: a, low."""
     least = pairs.groupBy("a").agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("m"))
-    return spread_join(pairs, least, "a", F.col("b"), n).select("a", "b", "low"), least.select("a", "low")
+    return spread_join(pairs, least, "a", _both(pairs), n).select("a", "b", "low"), least.select("a", "low")
+
+
+def _both(pairs: DataFrame) -> Column:
+    """A hash of a and b, of their type where that is binary or bigint."""
+    kind = dict(pairs.dtypes)["a"]
+    return F.unhex(F.md5(F.concat("a", "b"))) if kind == "binary" else F.xxhash64("a", "b") if kind == "bigint" else F.col("b")
 
 
 def _large_star(edges: DataFrame, n: int) -> DataFrame:
@@ -38,22 +44,21 @@ def _small_star(edges: DataFrame, n: int) -> DataFrame:
     return both.filter("a <> b").distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each b has one a, and no a is a b."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("is_a"), F.lit(0).alias("as_b")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("is_a"), F.lit(1).alias("as_b")))
+    nodes = ends.groupBy("node").agg(F.max("is_a").alias("is_a"), F.sum("as_b").alias("as_b"))
+    return nodes.filter("as_b > 1 OR is_a = 1 AND as_b > 0").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the least node of its component), for every node with an edge. `edges`: columns a, b of any ordered type."""
     now = checkpointed(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    state = _state(now)
     for _ in range(ROUNDS):
-        if not state[0]:
-            break
-        now = checkpointed(_small_star(_large_star(now, state[0]), state[0]))
-        before, state = state, _state(now)
-        if state == before:
+        n = now.count()
+        if not n or _are_stars(now):
             break
+        now = checkpointed(_small_star(_large_star(now, n), n))
     else:
         raise RuntimeError(f"components have not settled after {ROUNDS} rounds")
     roots = now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()

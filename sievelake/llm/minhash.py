@@ -6,8 +6,12 @@
 2. Documents with equal sets are one class, known by a 128-bit hash of the set; only classes go on.
 3. In each bucket the classes' sketches are compared by XOR and population count, and the bucket gives a
    spanning forest of what may be similar, not its pairs. The forests' components are the candidate clusters.
-4. The full sets of a cluster meet in tasks of bounded size (clusters beyond it as pairs of blocks), where every
-   pair is confirmed exactly; again only a spanning forest of the links goes on. Its components are the result.
+4. The full sets of a cluster meet in a task, where every pair is confirmed exactly; again only a spanning forest
+   of the links goes on. Its components are the result.
+5. A cluster too large for a task is dealt into blocks around hubs first: each class goes to one block of the least
+   class that it shares a bucket with, and a few classes of a hub are in all its blocks. What that confirms makes
+   most of such a cluster one component at the cost of one text for each class. Only classes that still have a
+   similar sketch in another component meet again, as pairs of blocks, which no pair escapes.
 
 No bucket, cluster or set of partners is cut short. A link is missed only if no band of its two documents
 agrees or its sketches differ beyond MOST_DIFFERING: for a similarity of 0.8 less than 3 times in 10**7.
@@ -23,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelake.llm.common import BYTE_CODES, bounded_batches, checkpointed, flat, mix64, prefix_hash, row_key, shuffle_partitions, slices, span_hash, spread_join, texts, word_spans
@@ -33,6 +37,7 @@ SAMPLES, ROWS, BANDS = 128, 4, 32  # MinHash samples; of them in a band; bands
 SKETCH_BITS = 512
 MOST_DIFFERING = 88  # bits of two sketches; a similarity of 0.85 has about 53, of 0.6 about 84
 BUCKET_BLOCK, CLUSTER_BLOCK, CLUSTER_SHINGLES = 2048, 512, 1_000_000
+BRIDGES = 16  # classes of a hub that are in all its blocks
 
 _rng = np.random.default_rng(20)
 _FACTORS = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1)
@@ -169,7 +174,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
 
 
 def spanning_forest(linked: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that join what a symmetric boolean matrix links."""
+    """Edges that join what a symmetric boolean matrix links: stars around the first of each component."""
     left = np.ones(len(linked), bool)
     edges = []
     for root in range(len(linked)):
@@ -181,7 +186,7 @@ def spanning_forest(linked: np.ndarray) -> list[tuple[int, int]]:
             u = stack.pop()
             reached = np.flatnonzero(linked[u] & left)
             left[reached] = False
-            edges += [(u, int(v)) for v in reached]
+            edges += [(root, int(v)) for v in reached]
             stack += reached.tolist()
     return edges
 
@@ -190,20 +195,24 @@ PAIR_SIZES = 6  # groups up to this many rows are compared together
 
 
 def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the similar sketches of each bucket; of classes with labels, of those whose labels differ."""
     for b, cuts in whole_groups(batches, ["bucket", "i", "j"]):
         keys = np.frombuffer(b"".join(b.column("cls").to_pylist()), np.uint64).reshape(-1, 2)
+        label = np.arange(len(keys))
+        if "label" in b.schema.names:
+            label = np.unique(np.frombuffer(b"".join(b.column("label").to_pylist()), np.uint64).reshape(-1, 2), axis=0, return_inverse=True)[1].ravel()
         sketch = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint64).reshape(len(keys), -1)
         group = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
         small = np.repeat(np.diff(cuts) <= PAIR_SIZES, np.diff(cuts))
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for d in range(1, PAIR_SIZES):
             p = np.flatnonzero((group[d:] == group[:-d]) & small[d:]) if len(group) > d else np.zeros(0, np.int64)
-            near = np.bitwise_count(sketch[p] ^ sketch[p + d]).sum(axis=1) <= MOST_DIFFERING
+            near = (np.bitwise_count(sketch[p] ^ sketch[p + d]).sum(axis=1) <= MOST_DIFFERING) & (label[p] != label[p + d])
             left.append(p[near])
             right.append(p[near] + d)
         for g in np.flatnonzero(np.diff(cuts) > PAIR_SIZES):
-            s = sketch[cuts[g] : cuts[g + 1]]
-            linked = np.stack([np.bitwise_count(s ^ one).sum(axis=1) <= MOST_DIFFERING for one in s])
+            s, of = sketch[cuts[g] : cuts[g + 1]], label[cuts[g] : cuts[g + 1]]
+            linked = np.stack([(np.bitwise_count(s ^ one).sum(axis=1) <= MOST_DIFFERING) & (of != mine) for one, mine in zip(s, of, strict=True)])
             forest = np.array(spanning_forest(linked), np.int64).reshape(-1, 2) + cuts[g]
             left.append(forest[:, 0])
             right.append(forest[:, 1])
@@ -241,7 +250,7 @@ def _cluster_edges(words: int, percent: int):
                 part = b.slice(int(begin), int(end - begin))
                 keys = np.frombuffer(b"".join(part.column("cls").to_pylist()), np.uint64).reshape(-1, 2)
                 h, at = shingle_sets(*flat(part.column("text")), words)
-                _, own = np.unique(keys, axis=0, return_index=True)  # a row may be there several times
+                _, own = np.unique(keys.byteswap(), axis=0, return_index=True)  # a row may be there several times; in the order of the bytes
                 if len(own) < 2:
                     continue
                 sizes = np.diff(at)[own]
@@ -262,6 +271,45 @@ def block_pairs(blocks: Column, key: Column) -> Column:
     return F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j")))
 
 
+def _same(block: Column) -> list[Column]:
+    """A block that meets only itself."""
+    return [block.cast("long").alias("i"), block.cast("long").alias("j")]
+
+
+def _similar(met: DataFrame, *label: str) -> DataFrame:
+    """Edges a, b between classes with similar sketches in a bucket. met: bucket, m (its classes), cls and sketch."""
+    blocks = F.ceil(F.col("m") / BUCKET_BLOCK).cast("long")
+    dealt = met.select("bucket", "cls", "sketch", *label, F.explode(block_pairs(blocks, F.xxhash64("cls"))).alias("p")).select("bucket", "p.i", "p.j", "cls", "sketch", *label)
+    dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "cls")  # so that stars are around the least class
+    return dealt.mapInArrow(_bucket_edges, "a binary, b binary")
+
+
+def _blocked(rows: DataFrame) -> DataFrame:
+    """rows (cls, n and cluster) with the number of blocks that their cluster needs."""
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / CLUSTER_BLOCK, F.sum("n") / CLUSTER_SHINGLES)).cast("long")
+    sizes = rows.groupBy("cluster").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("m"))
+    sizes = checkpointed(sizes)
+    total = sizes.agg(F.sum("m")).first()[0] or 0
+    return spread_join(rows, sizes, "cluster", F.col("cls"), total).drop("m")
+
+
+def _around_hubs(large: DataFrame, inside: DataFrame) -> DataFrame:
+    """cls, cluster (the hub), i and j: each class in a block of its hub, and a hub's least classes in all its blocks."""
+    hubs = inside.groupBy("bucket").agg(F.min("cls").alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    told = spread_join(inside, hubs, "bucket", F.xxhash64("cls", "bucket"), inside.count())
+    members = checkpointed(_blocked(told.groupBy("cls").agg(F.min("hub").alias("cluster")).join(large.select("cls", "n"), "cls")))
+    own = members.select("cls", "cluster", F.pmod(F.xxhash64("cls"), F.col("blocks")).alias("i"))
+    least = members.withColumn("nth", F.row_number().over(Window.partitionBy("cluster").orderBy("cls"))).filter(F.col("nth") <= BRIDGES)
+    bridges = least.select("cls", "cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i"))
+    return own.unionByName(bridges).distinct().withColumn("j", F.col("i"))
+
+
+def _confirmed(full: DataFrame, words: int, percent: int) -> DataFrame:
+    """Edges a, b of what is linked in a block or a pair of blocks. full: cluster, i, j, cls and text."""
+    dealt = full.select("cluster", "i", "j", "cls", "text").repartition(shuffle_partitions(full.sparkSession), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    return dealt.mapInArrow(_cluster_edges(words, percent), "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of `docs`: doc_id, n_shingles, component_id, kept.
 
@@ -277,12 +325,12 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """
     own, other = "sievelake key", "sievelake gone"
     rows = docs.withColumn(own, row_key(docs["doc_id"].cast("long"), F.coalesce(docs["text"], F.lit("")).cast("binary")))
-    found = _components(docs, words, percent).filter("n_shingles > 0")
+    found = checkpointed(_components(docs, words, percent).filter("n_shingles > 0").select("doc_id", "key", "root"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
-    first = found.groupBy("root").agg(F.min(order).alias("first")).select(F.col("root").alias("of"), F.col("first.key").alias("keeper"))
-    # only components with several keys lose rows, so the others need no join
-    several = found.groupBy("root").agg((F.min("key") < F.max("key")).alias("several")).filter("several").select("root")
-    gone = found.join(several, "root", "left_semi").join(first, F.col("root") == F.col("of")).filter("key <> keeper").select(F.col("key").alias(other))
+    first = found.groupBy("root").agg(F.min(order).alias("first"), F.min("key").alias("least"), F.max("key").alias("most"), F.count(F.lit(1)).alias("m"))
+    # only components with several keys lose rows
+    several = first.filter("least < most").select("root", F.col("first.key").alias("keeper"), "m")
+    gone = spread_join(found.select("root", "key"), several, "root", F.col("key"), found.count()).filter("key <> keeper").select(F.col("key").alias(other))
     return rows.join(gone, F.col(own) == F.col(other), "left_anti").select(*[rows[f"`{c}`"] for c in docs.columns])
 
 
@@ -291,29 +339,38 @@ def _components(docs: DataFrame, words: int, percent: int) -> DataFrame:
     bounded_batches(docs.sparkSession)
     named = texts(docs).withColumn("key", row_key(F.col("doc_id"), F.col("text").cast("binary")))
     signed = checkpointed(named.mapInArrow(_signatures(words), "doc_id long, key binary, n_shingles long, cls binary, sketch binary, bands array<long>"))
-    classes = checkpointed(signed.filter("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.min("key").alias("first_key"), F.min("n_shingles").alias("n"), F.any_value("sketch").alias("sketch"), F.any_value("bands").alias("bands")))
+    classes = checkpointed(signed.filter("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.min("key").alias("first_key"), F.min("n_shingles").alias("n"), F.any_value("sketch").alias("sketch"), F.any_value("bands").alias("bands"), F.count(F.lit(1)).alias("m")))
 
     # buckets with more than one class
     rows = classes.select("cls", F.explode("bands").alias("bucket"))
     counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     met = spread_join(rows, counts, "bucket", F.xxhash64("cls", "bucket"), BANDS * classes.count()).join(classes.select("cls", "sketch"), "cls")
-    blocks = F.ceil(F.col("m") / BUCKET_BLOCK).cast("long")
-    dealt = met.select("bucket", "cls", "sketch", F.explode(block_pairs(blocks, F.xxhash64("cls"))).alias("p")).select("bucket", "p.i", "p.j", "cls", "sketch")
-    dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    clusters = components(dealt.mapInArrow(_bucket_edges, "a binary, b binary")).select(F.col("node").alias("cls"), F.col("root").alias("cluster"))
-
-    # full sets of the clusters' classes
-    told = classes.select("cls", "first_key", "n").join(clusters, "cls")
-    sizes = told.groupBy("cluster").agg(F.ceil(F.greatest(F.count(F.lit(1)) / CLUSTER_BLOCK, F.sum("n") / CLUSTER_SHINGLES)).cast("long").alias("blocks"))
-    wanted = told.join(sizes, "cluster").select("cls", "cluster", "blocks", F.col("first_key").alias("key"))
-    full = named.select("key", "text").join(wanted, "key")
-    full = full.select("cluster", "cls", "text", F.explode(block_pairs(F.col("blocks"), F.xxhash64("cls"))).alias("p")).select("cluster", "p.i", "p.j", "cls", "text")
-    full = full.repartition(shuffle_partitions(docs.sparkSession), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    linked = components(full.mapInArrow(_cluster_edges(words, percent), "a binary, b binary"))
+    clusters = components(_similar(met)).select(F.col("node").alias("cls"), F.col("root").alias("cluster"))
+    wanted = checkpointed(_blocked(classes.select("cls", "n", F.col("first_key").alias("key")).join(clusters, "cls")))
+
+    large = wanted.filter("blocks > 1")
+    small = wanted.filter("blocks = 1").select("key", "cls", "cluster", *_same(F.lit(0)))
+    if large.isEmpty():
+        linked = components(_confirmed(named.select("key", "text").join(small, "key"), words, percent))
+    else:
+        full = checkpointed(named.select("key", "text").join(wanted.select("key", "cls"), "key").select("cls", "text"))
+        inside = checkpointed(classes.join(large.select("cls"), "cls", "left_semi").select("cls", F.explode("bands").alias("bucket")))
+        labels = components(_confirmed(full.join(small.drop("key").unionByName(_around_hubs(large, inside)), "cls"), words, percent)).select(F.col("node").alias("of"), F.col("root").alias("label"))
+        labelled = checkpointed(inside.join(labels, F.col("cls") == F.col("of"), "left").select("bucket", "cls", F.coalesce("label", "cls").alias("label")))
+        several = labelled.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("bucket", "m")
+        open_ = spread_join(labelled, several, "bucket", F.xxhash64("cls", "bucket"), labelled.count()).join(classes.select("cls", "sketch"), "cls")
+        again = components(_similar(open_, "label")).select(F.col("node").alias("cls"), F.col("root").alias("cluster"))
+        linked = labels.select(F.col("of").alias("node"), F.col("label").alias("root"))
+        if not again.isEmpty():
+            left = _blocked(large.select("cls", "n").join(again, "cls"))
+            pairs = left.select("cls", "cluster", F.explode(block_pairs(F.col("blocks"), F.xxhash64("cls"))).alias("p")).select("cls", "cluster", "p.i", "p.j")
+            stars = linked.select(F.col("node").alias("a"), F.col("root").alias("b"))
+            linked = components(stars.unionByName(_confirmed(full.join(pairs, "cls"), words, percent)))
 
     ids = linked.join(classes.select("cls", "first_id"), F.col("node") == F.col("cls")).select("cls", "root", "first_id")
-    roots = ids.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    told = classes.select("cls", "first_id").join(ids.select("cls", "root"), "cls", "left").join(roots, "root", "left").select("cls", F.coalesce("root", "cls").alias("root"), F.coalesce("component_id", "first_id").alias("component_id"))
-    out = signed.select("doc_id", "key", "n_shingles", "cls").join(told, "cls", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "key", "n_shingles", component.alias("component_id"), "root")
+    roots = ids.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("m"))
+    named_ids = spread_join(ids.select("cls", "root"), roots, "root", F.col("cls"), ids.count()).drop("m")
+    told = classes.select("cls", "first_id", "m").join(named_ids, "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), F.coalesce("component_id", "first_id").alias("component_id"), "m")
+    shingled = signed.filter("n_shingles > 0").select("doc_id", "key", "n_shingles", "cls")
+    out = spread_join(shingled, checkpointed(told), "cls", F.col("key"), shingled.count()).select("doc_id", "key", "n_shingles", "component_id", "root")
+    return out.unionByName(signed.filter("n_shingles = 0").select("doc_id", "key", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("root")))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievelake.llm.common import BYTE_CODES, bounded_batches, checkpointed, flat, prefix_hash, release, remove_path, row_key, scratch_path, shuffle_partitions, slices, span_hash, spread_join, texts
+from sievelake.llm.common import BYTE_CODES, bounded_batches, checkpointed, flat, prefix_hash, remove_path, row_key, scratch_path, shuffle_partitions, shuffles_freed, slices, span_hash, spread_join, texts
 from sievelake.llm.minhash import whole_groups
 
 GRAM = 32
@@ -276,14 +276,15 @@ def repeats(docs: DataFrame, size: int) -> DataFrame:
     bounded_batches(spark)
     bodies = keyed(docs)
     mine, theirs = scratch_path(spark, "anchors"), scratch_path(spark, "contexts")
-    bodies.filter(F.octet_length("body") >= size).mapInArrow(_anchor_rows(size), "key binary, gram long, start long, n long, lead long").write.option("compression", "zstd").parquet(mine)
+    anchored = bodies.filter(F.octet_length("body") >= size).mapInArrow(_anchor_rows(size), "key binary, gram long, start long, n long, lead long")
+    anchored.write.option("compression", "zstd").parquet(mine)
     found = spark.read.parquet(mine)
     counts = found.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     several = spread_join(found, counts, "gram", F.xxhash64("key", "start"), found.count())
     runs = several.groupBy("key").agg(F.collect_set(F.struct("gram", "start", "n", "lead")).alias("runs"))
-    bodies.join(runs, "key").select("key", "body", "runs").mapInArrow(_context_rows(size), "key binary, gram long, digest binary, start long, n long, lead long, context binary").write.option("compression", "zstd").parquet(theirs)
-
-    release(spark)
+    cut = bodies.join(runs, "key").select("key", "body", "runs").mapInArrow(_context_rows(size), "key binary, gram long, digest binary, start long, n long, lead long, context binary")
+    with shuffles_freed(spark):
+        cut.write.option("compression", "zstd").parquet(theirs)
 
     places = spark.read.parquet(theirs)
     hot = checkpointed(places.groupBy("gram").agg(F.approx_count_distinct("digest").alias("m")).filter(F.col("m") > HOT).select("gram", F.lit(True).alias("hot")))
@@ -309,7 +310,6 @@ def repeats(docs: DataFrame, size: int) -> DataFrame:
     out = checkpointed(spans.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans")))
     remove_path(spark, mine)
     remove_path(spark, theirs)
-    release(spark)
     return out
 
 
