@@ -2,6 +2,12 @@
 
 Each stage is a function (spark, docs, sf_dir) -> DataFrame over all rows that the stage before it kept; its
 result is written as Parquet and read again as the next one's docs. All but the last return the columns of docs.
+
+Special cases: null texts count as empty; texts of fewer than 20 words go in the first stage, so null and empty ones
+do; of rows equal in text the one with the largest id stays, of a component of near copies the one with the least,
+null ids last; rows equal in id and text are one document after the second stage; further columns go along, whatever
+their names; texts may be of any length; an empty table gives an empty result. With labels of only one kind, the first
+stage has its two fixed rules.
 """
 
 from __future__ import annotations
@@ -10,13 +16,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievelake.llm.common import documents, remove_path, scratch_path
+from sievelake.llm.common import documents
 from sievelake.llm.exact_dedup import keep_distinct
 from sievelake.llm.minhash import keep_one
 from sievelake.llm.packing import pack
 from sievelake.llm.quality_rules import keep_quality
 from sievelake.llm.queries import END_ID, tokenizer_path
 from sievelake.llm.suffix_dedup import cut_repeats
+from sievelake.shared import is_written, remove_path, scratch_path, shuffles_freed
 
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 REPEAT_BYTES = 200  # shorter than any passage of 50 words is likely to be
@@ -54,18 +61,28 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, before = documents(spark, sf_dir), None
-    for name, stage in STAGES[:-1]:
-        to = scratch_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(to)
-        if before:
-            remove_path(spark, before)
-        docs, before = spark.read.parquet(to), to
-    out = STAGES[-1][1](spark, docs, sf_dir)
-    if before:
-        remove_path(spark, before)  # packing has a checkpoint of all that it needs
-    return out
+def run(spark: SparkSession, sf_dir: str, work: str | None = None) -> DataFrame:
+    """The packed corpus of sf_dir's documents.
+
+    `work`: a folder in a store that all executors share. The stages' tables are kept there, and a run that finds some
+    of them written goes on after the last one. Without it they lie in the checkpoint folder and are removed as soon
+    as the next stage is written, and when a stage fails.
+    """
+    docs, base = documents(spark, sf_dir), work or scratch_path(spark, "pipeline")
+    before = None
+    try:
+        for k, (name, stage) in enumerate(STAGES[:-1]):
+            to = f"{base.rstrip('/')}/{k}-{name}"
+            if not (work and is_written(spark, to)):
+                with shuffles_freed(spark):
+                    stage(spark, docs, sf_dir).write.mode("overwrite").parquet(to)
+            if before and not work:
+                remove_path(spark, before)
+            docs, before = spark.read.parquet(to), to
+        return STAGES[-1][1](spark, docs, sf_dir)  # which has a checkpoint of all that it needs
+    finally:
+        if not work:
+            remove_path(spark, base)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
