@@ -36,25 +36,46 @@ SENTENCES = (
     ("f", "gpl-free", "free software you can redistribute it and or modify it under the terms of the gnu general public license"),
     ("v", "gpl-3-later", "either version 3 of the license or at your option any later version"),
     ("u", "gpl-2-later", "either version 2 of the license or at your option any later version"),
+    ("F", "agpl-free", "free software you can redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("L", "lgpl-free", "free software you can redistribute it and or modify it under the terms of the gnu (lesser|library) general public license"),
+    ("e", "lgpl-2.1-later", "either version 2.1 of the license or at your option any later version"),
+    ("I", "isc-grant", "permission to use copy modify and (or )?distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice"),
+    ("O", "0bsd-grant", "permission to use copy modify and (or )?distribute this software for any purpose with or without fee is hereby granted"),
+    ("D", "author-disclaims", "is provided as is and the author disclaims all warranties"),
+    ("Z", "zlib-grant", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
+    ("B", "bsl-grant", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("X", "bsl-1.0", "(under|terms of) (the )?boost software license"),
+    ("U", "unlicense", "this is free and unencumbered software released into the public domain"),
+    ("C", "cc0-1.0", "(under|to) (the )?(terms of (the )?)?(cc0|creative commons zero)"),
+    ("E", "epl-2.0", "(under|terms of) (the )?(terms of the )?eclipse public license (version |v. ?|v )?2"),
+    ("H", "epl-1.0", "(under|terms of) (the )?(terms of the )?eclipse public license (version |v. ?|v )?1"),
+    ("T", "artistic-2.0", "(under|terms of) (the )?(terms of the )?artistic license (version |v)?2"),
+    ("G", "agpl-3", "(under|terms of) (the )?(terms of the )?gnu affero general public license (version |v)?3"),
+    ("i", "lgpl-3", "(under|terms of) (the )?(terms of the )?gnu lesser general public license (version |v)?3"),
+    ("j", "lgpl-2.1", "(under|terms of) (the )?(terms of the )?gnu lesser general public license (version |v)?2.1"),
     ("l", "lgpl", "(under|terms of) (the )?(terms of the )?gnu lesser general public license"),
     ("g", "gpl-3", "(under|terms of) (the )?(terms of the )?gnu general public license (version |v)?3"),
     ("h", "gpl-2", "(under|terms of) (the )?(terms of the )?gnu general public license (version |v)?2"),
     ("o", "mpl-2.0", "(under|terms of) (the )?(terms of the )?mozilla public license"),
     ("x", "cc-by-nc-4.0", "under (the )?(cc by nc|creative commons attribution non ?commercial) 4.0"),
     ("y", "cc-by-sa-4.0", "under (the )?(cc by sa|creative commons attribution share ?alike) 4.0"),
+    ("V", "cc-by-nd-4.0", "under (the )?(cc by nd|creative commons attribution no ?deriv(ative)?s) 4.0"),
     ("z", "cc-by-4.0", "under (the )?(cc by|creative commons attribution) 4.0"),
-    ("k", "other-license", "licen[sc]ed under|under the terms of|released under .*licen[sc]e"),
+    ("k", "other-license", "licen[sc]ed under|(released|made available) under .*licen[sc]e"),
 )
 # Ordered rules as (licence, codes of its sentences in order).
 RULES = (
     ("Apache-2.0", "adbc"), ("Apache-2.0", "dbc"), ("Apache-2.0", "ab"), ("Apache-2.0", "a"),
     ("MIT", "mpqw"), ("MIT", "pqw"), ("MIT", "pq"), ("MIT", "m"),
     ("BSD-3-Clause", "rstnw"), ("BSD-3-Clause", "rstn"), ("BSD-2-Clause", "rstw"), ("BSD-2-Clause", "rst"),
+    ("AGPL-3.0-or-later", "Fv"), ("LGPL-3.0-or-later", "Lv"), ("LGPL-2.1-or-later", "Le"), ("LGPL-2.0-or-later", "Lu"), ("AGPL-3.0", "F"), ("LGPL", "L"),
+    ("ISC", "ID"), ("ISC", "I"), ("0BSD", "OD"), ("0BSD", "O"), ("Zlib", "Z"), ("BSL-1.0", "B"), ("BSL-1.0", "X"), ("Unlicense", "U"), ("CC0-1.0", "C"),
+    ("EPL-2.0", "E"), ("EPL-1.0", "H"), ("Artistic-2.0", "T"), ("AGPL-3.0", "G"), ("LGPL-3.0", "i"), ("LGPL-2.1", "j"),
     ("GPL-3.0-or-later", "fv"), ("GPL-2.0-or-later", "fu"), ("LGPL", "l"), ("GPL-3.0", "g"), ("GPL-2.0", "h"),
-    ("MPL-2.0", "o"), ("CC-BY-NC-4.0", "x"), ("CC-BY-SA-4.0", "y"), ("CC-BY-4.0", "z"),
+    ("MPL-2.0", "o"), ("CC-BY-NC-4.0", "x"), ("CC-BY-SA-4.0", "y"), ("CC-BY-ND-4.0", "V"), ("CC-BY-4.0", "z"),
 )
 #: What every known sentence holds; texts without it are not cut up.
-HINT = "(?i)licen[cs]|redistribut|permission|warrant|endorse|as[^a-z0-9.]+is|under"
+HINT = "(?i)licen[cs]|redistribut|permission|warrant|endorse|as[^a-z0-9.]+is|under|unencumbered|cc0|creative"
 GAP, TAKEN = "-", "|"
 
 
@@ -100,13 +121,13 @@ def license_scan(docs: DataFrame) -> DataFrame:
         return F.struct(F.replace(state["rest"], rule["run"], F.lit(TAKEN)).alias("rest"), F.when(hit, F.array_append(state["found"], rule["name"])).otherwise(state["found"]).alias("found"))
 
     names = F.create_map(*[x for sign, name, _ in SENTENCES for x in (F.lit(sign), F.lit(name))])
-    done = coded.select("doc_id", "codes", F.when(F.col("codes").rlike("[a-z]"), F.aggregate(rules, start, apply)).alias("state"))
+    done = coded.select("doc_id", "codes", F.when(F.col("codes").rlike("[A-Za-z]"), F.aggregate(rules, start, apply)).alias("state"))
     signs = F.filter(F.split(F.col("codes"), ""), lambda c: (c != GAP) & (c != ""))
     return done.select(
         "doc_id",
         F.array_join(F.transform(signs, lambda c: F.element_at(names, c)), ",").alias("sentence_ids"),
         F.coalesce(F.array_join(F.array_distinct(F.col("state.found")), ","), F.lit("")).alias("licences"),
-        F.coalesce(F.length(F.regexp_replace(F.col("state.rest"), "[^a-z]", "")), F.lit(0)).cast("long").alias("n_unmatched"),
+        F.coalesce(F.length(F.regexp_replace(F.col("state.rest"), "[^A-Za-z]", "")), F.lit(0)).cast("long").alias("n_unmatched"),
     )
 
 
@@ -124,6 +145,6 @@ norm AS (SELECT doc_id, list_transform(ss, lambda s: regexp_replace(regexp_repla
 coded AS (SELECT doc_id, array_to_string(list_transform(ss, lambda s: CASE {case} ELSE '-' END), '') AS codes FROM norm),
 {', '.join(steps)}
 SELECT doc_id, array_to_string(list_transform(list_filter(string_split(codes, ''), lambda c: c NOT IN ('-', '')), lambda c: CASE c {ids} END), ',') AS sentence_ids,
-       array_to_string(found, ',') AS licences, CAST(length(regexp_replace(rest, '[^a-z]', '', 'g')) AS BIGINT) AS n_unmatched
+       array_to_string(found, ',') AS licences, CAST(length(regexp_replace(rest, '[^A-Za-z]', '', 'g')) AS BIGINT) AS n_unmatched
 FROM r{len(RULES)}
 """
