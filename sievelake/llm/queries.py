@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelake.llm.byte_cnn import fit_quality_cnn, score_quality
-from sievelake.llm.common import documents, scratch_path
+from sievelake.llm.common import checkpointed, documents, remove_path, scratch_path
 from sievelake.llm.exact_dedup import exact_dedup
 from sievelake.llm.labelled import id_crc
 from sievelake.llm.language_id import fit_languages, language_id
@@ -55,8 +55,11 @@ def op9_gbt_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     to = scratch_path(spark, "token-files")
-    write_token_files(documents(spark, sf_dir), to, tokenizer_path("word_bpe_49k.json"), END_ID)
-    return token_digests(read_token_files(spark, to))
+    try:
+        write_token_files(documents(spark, sf_dir), to, tokenizer_path("word_bpe_49k.json"), END_ID)
+        return checkpointed(token_digests(read_token_files(spark, to)))
+    finally:
+        remove_path(spark, to)
 
 
 def op5_linear_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
