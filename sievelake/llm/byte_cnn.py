@@ -8,8 +8,8 @@ training on a bounded sample of labelled rows takes seconds on the driver.
 
 Bytes after a chunk's end count as zero bytes, which no text needs. Results for the special cases: null and
 empty texts are one chunk of zero bytes and get a score like any other; rows equal in id are scored each for
-itself; with fewer than MIN_LABELS labels of either kind every score is 0.5; an empty table gives an empty
-result.
+itself; with fewer than MIN_LABELS labels of either kind every score is 0.5; a text of any length is scored as a
+whole, PART chunks at a time; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
 from sievelake.llm.common import bounded_batches, flat, slices, texts
-from sievelake.llm.labelled import quality_sample
+from sievelake.llm.labelled import first_by_id, quality_rows
 
 SAMPLE = 4000  # labelled rows at most
 MIN_LABELS = 8
@@ -31,20 +31,29 @@ WIDTH, STRIDE, EMBED, FILTERS = 8, 2, 8, 32
 LAGS = 32
 BATCH, RATE = 64, 4e-3
 EPOCHS, MIN_STEPS = 12, 500  # of training: so many epochs, and more of them on small samples
+LEARNED_CHUNKS = 293  # of a document that training may draw from, evenly from all of it: texts of up to 64 KiB are whole
+PART = 8192  # chunks that are scored at once
 TRAIN_CHUNKS = 16  # of a document in one training step, drawn anew in each epoch; scoring takes all chunks
 
 
-def chunk_table(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The chunks of all rows as a matrix of bytes, and how many each row has (one at least)."""
-    sizes = np.diff(offsets)
-    n = 1 + np.maximum(0, -(-(sizes - CHUNK) // STEP))
-    row = np.repeat(np.arange(len(sizes)), n)
-    nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    start = offsets[row] + nth * STEP
-    where = start[:, None] + np.arange(CHUNK)
+def chunk_counts(offsets: np.ndarray) -> np.ndarray:
+    """How many chunks each row has, one at least."""
+    return 1 + np.maximum(0, -(-(np.diff(offsets) - CHUNK) // STEP))
+
+
+def chunks_at(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, nth: np.ndarray) -> np.ndarray:
+    """Chunks of rows as a matrix of bytes."""
+    where = (offsets[row] + nth * STEP)[:, None] + np.arange(CHUNK)
     inside = where < offsets[row + 1][:, None]
-    padded = np.append(data, np.uint8(0))
-    return np.where(inside, padded[np.minimum(where, len(data))], np.uint8(0)), n
+    padded = np.append(data, np.uint8(0)) if not len(data) else data
+    return np.where(inside, padded[np.minimum(where, len(padded) - 1)], np.uint8(0))
+
+
+def chunk_table(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The chunks of all rows, and how many each row has."""
+    n = chunk_counts(offsets)
+    row = np.repeat(np.arange(len(n)), n)
+    return chunks_at(data, offsets, row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)), n
 
 
 def repeats(chunks: np.ndarray) -> np.ndarray:
@@ -83,22 +92,31 @@ class ByteCnn:
             out[at : at + 256] = (a.reshape(-1, WIDTH * EMBED) @ self.filters).reshape(len(a), -1, FILTERS).max(axis=1)
         return np.maximum(out + self.bias, 0)
 
-    def combine(self, pooled: np.ndarray, n: np.ndarray) -> np.ndarray:
-        at = np.cumsum(n) - n
-        mean = np.add.reduceat(pooled, at, axis=0) / n[:, None]
-        z = np.concatenate([mean, np.maximum.reduceat(pooled, at, axis=0)], axis=1) @ self.out + self.out_bias
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        chunks, n = chunk_table(data, offsets)
-        return self.combine(self.pooled(chunks), n).astype(float)
+        """Of whole rows. PART chunks are looked at at once, so that memory doesn't grow with a row's length."""
+        n = chunk_counts(offsets)
+        first = np.cumsum(n) - n
+        total, most = np.zeros((len(n), FILTERS), np.float32), np.zeros((len(n), FILTERS), np.float32)
+        for begin in range(0, int(n.sum()), PART):
+            ids = np.arange(begin, min(begin + PART, int(n.sum())))
+            row = np.searchsorted(first, ids, side="right") - 1
+            pooled = self.pooled(chunks_at(data, offsets, row, ids - first[row]))
+            at = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            total[row[at]] += np.add.reduceat(pooled, at, axis=0)
+            most[row[at]] = np.maximum(most[row[at]], np.maximum.reduceat(pooled, at, axis=0))
+        z = np.concatenate([total / n[:, None], most], axis=1) @ self.out + self.out_bias
+        return (1 / (1 + np.exp(-np.clip(z, -30, 30)))).astype(float)
 
 
 def fit_cnn(data: np.ndarray, offsets: np.ndarray, labels: np.ndarray, seed: int = 5) -> ByteCnn | None:
+    return fit_chunks(*chunk_table(data, offsets), labels, seed)
+
+
+def fit_chunks(chunks: np.ndarray, n: np.ndarray, labels: np.ndarray, seed: int = 5) -> ByteCnn | None:
+    """From documents' chunks, end to end, and how many each document has."""
     if min((labels == 0).sum(), (labels == 1).sum()) < MIN_LABELS:
         return None
     rng = np.random.default_rng(seed)
-    chunks, n = chunk_table(data, offsets)
     first = np.cumsum(n) - n
     f4 = np.float32
     net = ByteCnn(rng.normal(0, 0.5, (256, EMBED - 1)).astype(f4), rng.normal(0, 1 / np.sqrt(WIDTH * EMBED), (WIDTH * EMBED, FILTERS)).astype(f4), np.zeros(FILTERS, f4), np.zeros(2 * FILTERS, f4), 0.0)
@@ -154,11 +172,26 @@ def fit_cnn(data: np.ndarray, offsets: np.ndarray, labels: np.ndarray, seed: int
 
 def fit_quality_cnn(docs: DataFrame, labels: DataFrame, fold: Column | None = None) -> ByteCnn | None:
     """Fitted on at most SAMPLE labelled rows; `fold` is a condition on the column `labelled`, their id."""
-    sample = quality_sample(docs, labels, SAMPLE, fold).combine_chunks()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            data, offsets = flat(b.column("text"))
+            n = chunk_counts(offsets)
+            taken = np.minimum(n, LEARNED_CHUNKS)
+            row = np.repeat(np.arange(len(n)), taken)
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(taken) - taken, taken)
+            chunks = chunks_at(data, offsets, row, nth * n[row] // taken[row])
+            ends = np.cumsum(taken) * CHUNK
+            bodies = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(np.append(np.int64(0), ends)), pa.py_buffer(chunks.tobytes())])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), bodies.cast(pa.binary())], ["doc_id", "label", "chunks"])
+
+    bounded_batches(docs.sparkSession)
+    sample = first_by_id(quality_rows(docs, labels, SAMPLE, fold).mapInArrow(cut, "doc_id long, label int, chunks binary"), SAMPLE, "chunks").toArrow()
     if not len(sample):
         return None
-    data, offsets = flat(sample.column("text").combine_chunks().cast(pa.large_string()) if sample.column("text").num_chunks == 1 else pa.concat_arrays([c.cast(pa.large_string()) for c in sample.column("text").chunks]))
-    return fit_cnn(data, offsets, np.asarray(sample.column("label")))
+    bodies = sample.column("chunks").to_pylist()
+    chunks = np.frombuffer(b"".join(bodies), np.uint8).reshape(-1, CHUNK)
+    return fit_chunks(chunks, np.array([len(x) // CHUNK for x in bodies]), np.asarray(sample.column("label")))
 
 
 def score_quality(docs: DataFrame, net: ByteCnn | None) -> DataFrame:

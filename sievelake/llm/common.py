@@ -162,6 +162,28 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, base: int
     return mix64((prefix[end] - prefix[start]) * powers(len(prefix), base)[1][start] + (end - start).astype(np.uint64))
 
 
+SEGMENT = 1 << 20  # bytes that are hashed at once
+
+
+def hashed_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = BASE) -> np.ndarray:
+    """span_hash() of spans in the order of their places, with working memory for a segment, whatever the length of the data."""
+    at_end, at_start = np.zeros(len(end), np.uint64), np.zeros(len(start), np.uint64)
+    back = np.zeros(len(start), np.uint64)
+    carry, ahead, behind, inverse = 0, 1, 1, pow(base, -1, 1 << 64)
+    with np.errstate(over="ignore"):
+        for begin in range(0, len(data) + 1, SEGMENT):
+            part = data[begin : begin + SEGMENT]
+            prefix = prefix_hash(BYTE_CODES[part], base) * np.uint64(ahead) + np.uint64(carry)
+            for out, places in ((at_start, start), (at_end, end)):
+                i, j = np.searchsorted(places, (begin, begin + SEGMENT))
+                out[i:j] = prefix[places[i:j] - begin]
+            i, j = np.searchsorted(start, (begin, begin + SEGMENT))
+            back[i:j] = powers(len(prefix), base)[1][start[i:j] - begin] * np.uint64(behind)
+            carry = int(prefix[-1])
+            ahead, behind = ahead * pow(base, len(part), 1 << 64) % (1 << 64), behind * pow(inverse, len(part), 1 << 64) % (1 << 64)
+    return mix64((at_end - at_start) * back + (end - start).astype(np.uint64))
+
+
 WORD_BYTE = np.ones(256, bool)
 WORD_BYTE[[0x20, *range(0x09, 0x0E)]] = False
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from sievelake.llm.common import BYTE_CODES, WORD_BYTE, mix64, prefix_hash, span_hash, word_spans
+from sievelake.llm.common import WORD_BYTE, hashed_spans, mix64, word_spans
 
 WINDOW = 8
 
@@ -54,8 +54,7 @@ def base_stats(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and, for features(), n_lines and n_distinct of each row."""
     rows = len(offsets) - 1
     starts, ends, row = word_spans(data, offsets)
-    prefix = prefix_hash(BYTE_CODES[data])
-    hashes = span_hash(prefix, starts, ends)
+    hashes = hashed_spans(data, starts, ends)
     out = {"n_words": np.bincount(row, minlength=rows)}
     out["word_chars"] = _per_row(WORD_BYTE[data] & HEAD[data], offsets)
     out["n_symbols"] = _per_row(SYMBOL[data], offsets)
@@ -72,7 +71,7 @@ def base_stats(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     worded = np.searchsorted(starts, end) > np.searchsorted(starts, begin)
     begin, end, line_row = begin[worded], end[worded], line_row[worded]
     salt = mix64(np.arange(rows, dtype=np.uint64) + np.uint64(7))
-    _, again = _repeated(mix64(span_hash(prefix, begin, end) ^ salt[line_row]))
+    _, again = _repeated(mix64(hashed_spans(data, begin, end) ^ salt[line_row]))
     out["n_dup_lines"] = np.bincount(line_row[again], minlength=rows)
     out["n_lines"] = np.bincount(line_row, minlength=rows)
 

@@ -10,8 +10,10 @@ distance between codewords is taken.
 Features are the relative frequencies of hashed byte n-grams of the whole text, ASCII letters in lower case.
 
 Results for the special cases: `und` with score 0 for a null text, a text without a letter, and every text if
-no language could be learned; a language seen alone is learned as the only answer; rows equal in id are judged
-each for itself; an empty table gives an empty result.
+no language could be learned; a language seen alone is learned as the only answer; of codewords that are equally
+near, the language that comes first by name is the answer, and it is ambiguous; a text of any length is judged as a
+whole, piece by piece in bounded memory; rows equal in id are judged each for itself; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -25,12 +27,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelake.llm.common import bounded_batches, flat, slices
-from sievelake.llm.labelled import LONGEST
 
 PER_LANGUAGE, AT_LEAST, IN_ALL = 600, 20, 4000  # training documents of a language: at most, and of very many languages as few as AT_LEAST
 EXHAUSTIVE = 7
 BUCKETS = 1 << 12
 GRAMS = (2, 3, 4)
+PIECE = 1 << 20  # bytes whose n-grams are counted at once
 STEPS, RATE, DECAY = 300, 4.0, 1e-5
 AMBIGUOUS = 0.2  # of score between the best and the second
 UNKNOWN = "und"
@@ -43,20 +45,23 @@ _FACTORS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35),
 def gram_shares(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """For each row the square roots of the shares of its hashed n-grams; none reaches over a row's end."""
     rows = len(offsets) - 1
-    sizes = np.diff(offsets)
-    at = np.repeat(np.arange(rows, dtype=np.int64) * BUCKETS, sizes)
-    left = np.repeat(offsets[1:], sizes) - np.arange(len(data))  # bytes from here to the row's end
-    codes = _LOWER[data]
     counts = np.zeros(rows * BUCKETS, np.float32)
-    for n in GRAMS:
-        m = len(data) - n + 1
-        if m <= 0:
-            continue
-        h = np.full(m, np.uint32(n * 0x01000193))
-        for k in range(n):
-            h = (h ^ codes[k : k + m]) * _FACTORS[k]
-        inside = left[:m] >= n
-        counts += np.bincount(at[:m][inside] + (h[inside] >> np.uint32(20)), minlength=len(counts))
+    for begin in range(0, len(data), PIECE):  # bounds the working memory of long texts
+        end = min(begin + PIECE, len(data))
+        cuts = np.clip(offsets, begin, end)
+        sizes = np.diff(cuts)
+        at = np.repeat(np.arange(rows, dtype=np.int64) * BUCKETS, sizes)
+        left = np.repeat(offsets[1:], sizes) - np.arange(begin, end)  # bytes from here to the row's end
+        codes = _LOWER[data[begin : end + max(GRAMS) - 1]]
+        for n in GRAMS:
+            m = min(end - begin, len(codes) - n + 1)
+            if m <= 0:
+                continue
+            h = np.full(m, np.uint32(n * 0x01000193))
+            for k in range(n):
+                h = (h ^ codes[k : k + m]) * _FACTORS[k]
+            inside = left[:m] >= n
+            counts += np.bincount(at[:m][inside] + (h[inside] >> np.uint32(20)), minlength=len(counts))
     out = counts.reshape(rows, BUCKETS)
     return np.sqrt(out / np.maximum(out.sum(axis=1, keepdims=True), 1))
 
@@ -129,18 +134,15 @@ def fit_codebook(x: np.ndarray, names: list[str]) -> Codebook | None:
 
 def fit_languages(docs: DataFrame, learn: Column | None = None) -> Codebook | None:
     """From texts and all non-null lang of the rows where `learn` holds: of each language the ids that hash lowest,
-    so many that there are about IN_ALL, and AT_LEAST of each. Texts longer than LONGEST are learned from, whole,
-    where a language has no others."""
+    so many that there are about IN_ALL, and AT_LEAST of each; whole texts, however long."""
     bounded_batches(docs.sparkSession)
     rows = docs.filter(learn) if learn is not None else docs
     rows = rows.select(rows["doc_id"].cast("long").alias("doc_id"), rows["lang"].cast("string").alias("lang"), rows["text"].alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    rows = rows.withColumn("long", F.octet_length("text") > LONGEST)
     most = max(AT_LEAST, min(PER_LANGUAGE, IN_ALL // max(1, rows.select("lang").distinct().count())))
     # IN_ALL rows of an id and a name are broadcast, or AT_LEAST of each language
-    each = Window.partitionBy("lang")
-    first = rows.select("doc_id", "lang", "long", F.row_number().over(each.orderBy("long", F.xxhash64("doc_id"), "doc_id")).alias("nth")).filter(F.col("nth") <= most)
-    picked = first.withColumn("only", F.min("long").over(each)).filter(F.col("long") == F.col("only")).select("doc_id", "lang", "long").distinct()
-    sample = rows.join(F.broadcast(picked), ["doc_id", "lang", "long"], "left_semi").orderBy("lang", F.xxhash64("doc_id"), "doc_id").select("lang", "text")
+    each = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    picked = rows.select("doc_id", "lang", F.row_number().over(each).alias("nth")).filter(F.col("nth") <= most).select("doc_id", "lang").distinct()
+    sample = rows.join(F.broadcast(picked), ["doc_id", "lang"], "left_semi").orderBy("lang", F.xxhash64("doc_id"), "doc_id").select("lang", "text")
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import BYTE_CODES, bounded_batches, checkpointed, flat, mix64, prefix_hash, row_key, shuffle_partitions, slices, span_hash, spread_join, texts, word_spans
+from sievelake.llm.common import bounded_batches, checkpointed, flat, hashed_spans, mix64, row_key, shuffle_partitions, slices, spread_join, texts, word_spans
 from sievelake.llm.components import components
 
 SAMPLES, ROWS, BANDS = 128, 4, 32  # MinHash samples; of them in a band; bands
@@ -52,7 +52,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.
     rows = len(offsets) - 1
     data = _LOWER[data]
     starts, ends, row = word_spans(data, offsets)
-    hashes = span_hash(prefix_hash(BYTE_CODES[data]), starts, ends)
+    hashes = hashed_spans(data, starts, ends)
     n_words = np.bincount(row, minlength=rows)
     factors = mix64(np.arange(3, 3 + words, dtype=np.uint64)) | np.uint64(1)
     padded = np.append(hashes, np.zeros(words - 1, np.uint64))

@@ -8,7 +8,8 @@ are not made and the values of later leaves stay within the bounds of earlier sp
 
 Results for the special cases: null and empty texts have no words and fail the base rules; rows equal in id
 are judged each for itself; with fewer than MIN_LABELS labels of either kind there is no verdict, so what
-passes the base rules is kept; an empty table gives an empty result.
+passes the base rules is kept; a text of any length is measured as a whole, hashed a segment at a time; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from sievelake.llm.common import bounded_batches, flat, slices, texts
 from sievelake.llm.doc_stats import FEATURES, MONOTONE, base_stats, features
-from sievelake.llm.labelled import quality_sample
+from sievelake.llm.labelled import first_by_id, quality_rows
 
 SAMPLE = 4000  # labelled rows at most
 MIN_LABELS = 8
@@ -73,7 +74,6 @@ def fit_forest(x: np.ndarray, y: np.ndarray, monotone: np.ndarray) -> Forest | N
         g, h = grad[rows], hess[rows]
         value = leaf(g.sum(), h.sum(), low, high)
         nodes.append([0, np.inf, at, at, RATE * value])
-        total[rows] += 0  # leaves add below
         best = (1e-6, -1, -1, 0.0, 0.0)
         if depth < DEPTH:
             gain = lambda a, b, v: -(a * v + 0.5 * (b + L2) * v * v)
@@ -109,16 +109,20 @@ def fit_forest(x: np.ndarray, y: np.ndarray, monotone: np.ndarray) -> Forest | N
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame) -> Forest | None:
-    """The forest from at most SAMPLE labelled rows of `docs`."""
-    sample = quality_sample(docs, labels, SAMPLE)
-    xs, ys = [], []
-    for b in slices(sample.to_batches(), "text"):
-        data, offsets = flat(b.column("text"))
-        xs.append(features(data, offsets, base_stats(data, offsets)))
-        ys.append(np.asarray(b.column("label")))
-    if not xs:
+    """The forest from at most SAMPLE labelled rows of `docs`, of which only the features come to the driver."""
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            data, offsets = flat(b.column("text"))
+            x = np.ascontiguousarray(features(data, offsets, base_stats(data, offsets)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array([row.tobytes() for row in x], pa.binary())], ["doc_id", "label", "features"])
+
+    bounded_batches(docs.sparkSession)
+    sample = first_by_id(quality_rows(docs, labels, SAMPLE).mapInArrow(measured, "doc_id long, label int, features binary"), SAMPLE, "features").toArrow()
+    if not len(sample):
         return None
-    return fit_forest(np.concatenate(xs), np.concatenate(ys), np.array([MONOTONE.get(f, 0) for f in FEATURES]))
+    x = np.frombuffer(b"".join(sample.column("features").to_pylist())).reshape(-1, len(FEATURES))
+    return fit_forest(x, np.asarray(sample.column("label")), np.array([MONOTONE.get(f, 0) for f in FEATURES]))
 
 
 def judged(column: pa.Array, forest: Forest | None) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
