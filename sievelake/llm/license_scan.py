@@ -75,6 +75,7 @@ RULES = (
     ("MPL-2.0", "o"), ("CC-BY-NC-4.0", "x"), ("CC-BY-SA-4.0", "y"), ("CC-BY-ND-4.0", "V"), ("CC-BY-4.0", "z"),
 )
 #: What every known sentence holds; texts without it are not cut up.
+#: Of sentences too, once they are normalized.
 HINT = "(?i)licen[cs]|redistribut|permission|warrant|endorse|as[^a-z0-9.]+is|under|unencumbered|cc0|creative"
 GAP, TAKEN = "-", "|"
 
@@ -108,6 +109,9 @@ def license_scan(docs: DataFrame) -> DataFrame:
         return out
 
     def codes(s: Column) -> Column:
+        return F.when(s.rlike(HINT), told(s)).otherwise(GAP)
+
+    def told(s: Column) -> Column:
         found = F.array_join(F.transform(F.regexp_extract_all(s, F.lit(_known()), F.lit(0)), code), "")
         return F.when(found == "", GAP).otherwise(found)
 
