@@ -165,6 +165,8 @@ def token_table(path: str) -> np.ndarray:
     if path not in _tables:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if spec.get("decoder") is not None:
+            raise ValueError("decoding is for files without a decoder section, whose tokens are parted by spaces")
         pairs = [*spec["model"]["vocab"].items(), *((t["content"], t["id"]) for t in spec["added_tokens"])]
         table = np.full(max(i for _, i in pairs) + 1, b"", object)
         for token, i in pairs:
