@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
 from sievelake.llm.common import bounded_batches, flat, slices, texts
-from sievelake.llm.labelled import first_by_id, quality_rows
+from sievelake.llm.labelled import LONGEST, first_by_id, quality_rows
 
 SAMPLE = 4000  # labelled rows at most
 MIN_LABELS = 8
@@ -31,7 +31,7 @@ WIDTH, STRIDE, EMBED, FILTERS = 8, 2, 8, 32
 LAGS = 32
 BATCH, RATE = 64, 4e-3
 EPOCHS, MIN_STEPS = 12, 500  # of training: so many epochs, and more of them on small samples
-LEARNED_CHUNKS = 293  # of a document that training may draw from, evenly from all of it: texts of up to 64 KiB are whole
+LEARNED_CHUNKS = 1 + -(-(LONGEST - CHUNK) // STEP)  # of a document that training may draw from, evenly from all of it
 PART = 8192  # chunks that are scored at once
 TRAIN_CHUNKS = 16  # of a document in one training step, drawn anew in each epoch; scoring takes all chunks
 

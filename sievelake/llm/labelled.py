@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+LONGEST = 64 << 10  # bytes of a text that comes to the driver to be learned from; of a longer one, as many evenly from all of it
+
+
 def id_crc(doc_id: Column) -> Column:
     """The unsigned CRC-32 of a document's id as text."""
     return F.crc32(doc_id.cast("long").cast("string").cast("binary"))

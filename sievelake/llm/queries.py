@@ -92,7 +92,7 @@ FROM documents d JOIN c ON c.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_i
 
 
 def op7_two_stage_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeat_digests(documents(spark, sf_dir), size=400)
+    return repeat_digests(documents(spark, sf_dir), size=400, with_text=True)
 
 
 #: Every window by its digest; covered bytes as runs; what lies between them, and its characters that are whole.

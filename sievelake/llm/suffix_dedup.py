@@ -335,26 +335,33 @@ def kept_bytes(body: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(body[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
 
 
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, "body"):
-        removed, n_spans, digests, texts_left = [], [], [], []
-        for body, spans in zip(b.column("body").to_pylist(), b.column("spans").to_pylist(), strict=True):
-            runs = merged(spans or [])
-            removed.append(sum(e - s for s, e in runs))
-            n_spans.append(len(runs))
-            left = kept_bytes(body, runs)
-            digests.append(hashlib.sha256(left).hexdigest())
-            texts_left.append(left.decode(errors="ignore"))
-        sizes = np.diff(flat(b.column("body"))[1])
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests, pa.string()), pa.array(texts_left, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
-
-
-def repeat_digests(docs: DataFrame, size: int = 400) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of the bytes that are left, and the text that they are, of each row.
+def _kept(with_text: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "body"):
+            removed, n_spans, digests, left = [], [], [], []
+            for body, spans in zip(b.column("body").to_pylist(), b.column("spans").to_pylist(), strict=True):
+                runs = merged(spans or [])
+                removed.append(sum(e - s for s, e in runs))
+                n_spans.append(len(runs))
+                kept = kept_bytes(body, runs)
+                digests.append(hashlib.sha256(kept).hexdigest())
+                if with_text:
+                    left.append(kept.decode(errors="ignore"))
+            sizes = np.diff(flat(b.column("body"))[1])
+            columns = [b.column("doc_id"), pa.array(sizes), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests, pa.string())]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(left, pa.string())] * with_text, names + ["text"] * with_text)
+
+    return run
+
+
+def repeat_digests(docs: DataFrame, size: int = 400, with_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of the bytes that are left, and on demand the text that they are, of each row.
 
     Of a character that is cut through, the rest counts for kept_sha256 but isn't in text."""
     rows = keyed(docs).join(repeats(docs, size), "key", "left").select("doc_id", "body", "spans")
-    return rows.mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
+    kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return rows.mapInArrow(_kept(with_text), kind + (", text string" if with_text else ""))
 
 
 def cut_repeats(docs: DataFrame, size: int = 400) -> DataFrame:
