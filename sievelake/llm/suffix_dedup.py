@@ -14,6 +14,11 @@ The suffix array is built only where repeats can be, and in pieces that hold all
    in runs of PIECE windows by the hash of the bytes that all windows of the run share.
 4. What was found goes back to the contexts' places, becomes spans of each document, and the rest is kept.
 
+Strings may be of a number of words instead of bytes: then each word stands in the text as UNIT bytes of its hash, the
+first of which says where a word begins, and strings begin there. What lies between words doesn't count, but goes
+with the words around it. Words are told apart by 55 bits, so a string of other words passes for a repeat only
+if it collides in each word that differs. A character of a script that puts no spaces between words is a word.
+
 Documents never run into each other. Results for the special cases: null and empty texts have no bytes; texts
 shorter than `size` lose nothing; rows equal in id and text are each other's repeat like any two documents; an
 empty table gives an empty result.
@@ -30,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievelake.llm.common import BYTE_CODES, bounded_batches, checkpointed, flat, prefix_hash, remove_path, row_key, scratch_path, shuffle_partitions, shuffles_freed, slices, span_hash, spread_join, texts
+from sievelake.llm.common import BYTE_CODES, bounded_batches, checkpointed, flat, hashed_spans, prefix_hash, remove_path, row_key, scratch_path, shuffle_partitions, shuffles_freed, slices, span_hash, spread_join, texts, word_spans
 from sievelake.llm.minhash import whole_groups
 
 GRAM = 32
@@ -39,6 +44,52 @@ BLOCK_BYTES = 512 << 10  # of contexts in one suffix array; a larger group is on
 SEGMENT = 1 << 20  # window starts of a long text taken at once
 PLACE_BITS = np.uint64(24)
 SEEN = 100_000  # contexts that a task remembers, to send their bytes once
+UNIT = 8  # bytes that stand for a word
+#: First and last code points of kana, Bopomofo, Han and Yi, which are written without spaces; fixed values of Unicode.
+UNSPACED = ((0x2E80, 0x312F), (0x3190, 0xA4CF), (0xF900, 0xFAFF), (0xFF66, 0xFF9D), (0x20000, 0x3FFFF))
+
+# --- words as bytes ---------------------------------------------------------------------------------
+
+
+def unit_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """word_spans(), with words cut before and after every character of UNSPACED."""
+    starts, ends, rows = word_spans(data, offsets)
+    lead = np.flatnonzero(data >= 0xE2)
+    if not len(lead):
+        return starts, ends, rows
+    long = data[lead] >= 0xF0
+    byte = lambda k: data[np.minimum(lead + k, len(data) - 1)].astype(np.int64) & 0x3F
+    point = (data[lead].astype(np.int64) & np.where(long, 0x07, 0x0F)) << 12 | byte(1) << 6 | byte(2)
+    point = np.where(long, point << 6 | byte(3), point)
+    own = np.zeros(len(lead), bool)
+    for first, last in UNSPACED:
+        own |= (point >= first) & (point <= last)
+    after = (lead + 3 + long)[own]
+    after = after[after < len(data)]
+    cut = np.union1d(starts, np.concatenate([lead[own], after]))
+    word = np.searchsorted(starts, cut, side="right") - 1
+    inside = cut < ends[word]
+    cut, word = cut[inside], word[inside]
+    return cut, np.minimum(ends[word], np.append(cut[1:], len(data))), rows[word]
+
+
+def word_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's words as UNIT bytes each: the first from 0x80 to 0xBF, the others below 0x80."""
+    starts, ends, rows = unit_spans(data, offsets)
+    codes = hashed_spans(data, starts, ends).astype("<u8").view(np.uint8).reshape(-1, UNIT) & np.uint8(0x7F)
+    codes[:, 0] = codes[:, 0] & np.uint8(0x3F) | np.uint8(0x80)
+    return codes.ravel(), UNIT * np.searchsorted(rows, np.arange(len(offsets)))
+
+
+def as_they_are(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return data, offsets
+
+
+def byte_runs(body: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs in a text's word_codes() as runs in its bytes."""
+    starts, ends, _ = unit_spans(np.frombuffer(body, np.uint8), np.array([0, len(body)]))
+    return [(int(starts[a // UNIT]), int(ends[b // UNIT - 1])) for a, b in runs]
+
 
 # --- 1. anchors -------------------------------------------------------------------------------------
 
@@ -85,10 +136,10 @@ def anchors(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarra
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _anchor_rows(size: int):
+def _anchor_rows(size: int, form):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "body"):
-            row, h, start, n, lead = anchors(*flat(b.column("body")), size)
+            row, h, start, n, lead = anchors(*form(*flat(b.column("body"))), size)
             yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(row)), pa.array(h), pa.array(start), pa.array(n), pa.array(lead)], ["key", "gram", "start", "n", "lead"])
 
     return run
@@ -97,13 +148,14 @@ def _anchor_rows(size: int):
 # --- 2. contexts ------------------------------------------------------------------------------------
 
 
-def _context_rows(size: int):
+def _context_rows(size: int, form):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for b in slices(batches, "body"):
             out: list[tuple] = []
-            for key, body, runs in zip(b.column("key").to_pylist(), b.column("body").to_pylist(), b.column("runs"), strict=True):
-                of = runs.values
+            data, offsets = form(*flat(b.column("body")))
+            for key, begin, end, runs in zip(b.column("key").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), b.column("runs"), strict=True):
+                of, body = runs.values, data[begin:end].tobytes()
                 for gram, start, n, lead in zip(*(of.field(k).to_pylist() for k in range(4)), strict=True):
                     context = body[start : start + n - 1 + size]
                     digest = hashlib.blake2b(context, digest_size=16).digest()
@@ -270,19 +322,22 @@ def _window_rows(size: int):
 # --- 4. spans ---------------------------------------------------------------------------------------
 
 
-def repeats(docs: DataFrame, size: int) -> DataFrame:
-    """key (of a row's id and text) and spans, an array of (begin, end) in bytes, for each row with a repeat."""
+def repeats(docs: DataFrame, size: int, words: int | None = None) -> DataFrame:
+    """key (of a row's id and text) and spans, an array of (begin, end) in bytes, for each row with a repeat.
+
+    With `words`, repeats are of so many words, and spans are in bytes of word_codes()."""
     spark = docs.sparkSession
+    size, least, form = (UNIT * words, 2 * words - 1, word_codes) if words else (size, size, as_they_are)
     bounded_batches(spark)
     bodies = keyed(docs)
     mine, theirs = scratch_path(spark, "anchors"), scratch_path(spark, "contexts")
-    anchored = bodies.filter(F.octet_length("body") >= size).mapInArrow(_anchor_rows(size), "key binary, gram long, start long, n long, lead long")
+    anchored = bodies.filter(F.octet_length("body") >= least).mapInArrow(_anchor_rows(size, form), "key binary, gram long, start long, n long, lead long")
     anchored.write.option("compression", "zstd").parquet(mine)
     found = spark.read.parquet(mine)
     counts = found.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     several = spread_join(found, counts, "gram", F.xxhash64("key", "start"), found.count())
     runs = several.groupBy("key").agg(F.collect_set(F.struct("gram", "start", "n", "lead")).alias("runs"))
-    cut = bodies.join(runs, "key").select("key", "body", "runs").mapInArrow(_context_rows(size), "key binary, gram long, digest binary, start long, n long, lead long, context binary")
+    cut = bodies.join(runs, "key").select("key", "body", "runs").mapInArrow(_context_rows(size, form), "key binary, gram long, digest binary, start long, n long, lead long, context binary")
     with shuffles_freed(spark):
         cut.write.option("compression", "zstd").parquet(theirs)
 
@@ -307,6 +362,9 @@ def repeats(docs: DataFrame, size: int) -> DataFrame:
 
     begin = F.col("start") + F.col("first")
     spans = places.select("key", "gram", "digest", "start").join(told, ["gram", "digest"]).select("key", begin.alias("begin"), (begin + F.col("windows") + size - 1).alias("end"))
+    if words:  # strings that begin with a word
+        whole = spans.select("key", (F.ceil(F.col("begin") / UNIT) * UNIT).alias("begin"), (F.floor((F.col("end") - size) / UNIT) * UNIT + size).alias("end"))
+        spans = whole.filter(F.col("end") - F.col("begin") >= size)
     out = checkpointed(spans.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans")))
     remove_path(spark, mine)
     remove_path(spark, theirs)
@@ -364,14 +422,15 @@ def repeat_digests(docs: DataFrame, size: int = 400, with_text: bool = False) ->
     return rows.mapInArrow(_kept(with_text), kind + (", text string" if with_text else ""))
 
 
-def cut_repeats(docs: DataFrame, size: int = 400) -> DataFrame:
+def cut_repeats(docs: DataFrame, size: int = 400, words: int | None = None) -> DataFrame:
     """`docs` with repeats cut out of text, and n_chars (if there is such a column) as the new text's length.
 
-    Spans are of bytes; of a character that is cut through, the rest goes too. Null texts stay null.
+    Repeats are of `size` bytes, and of a character that is cut through, the rest goes too; or, if given, of `words`
+    words, which go from the first one's start to the last one's end. Null texts stay null.
     """
     own, other = "sievelake key", "sievelake spans of"
     rows = docs.withColumn(own, row_key(docs["doc_id"].cast("long"), F.coalesce(docs["text"], F.lit("")).cast("binary")))
-    found = repeats(docs, size).select(F.col("key").alias(other), F.col("spans").alias("sievelake spans"))
+    found = repeats(docs, size, words).select(F.col("key").alias(other), F.col("spans").alias("sievelake spans"))
     names = docs.columns
     lower = [n.lower() for n in names]
     text, chars = lower.index("text"), lower.index("n_chars") if "n_chars" in lower else None
@@ -385,7 +444,8 @@ def cut_repeats(docs: DataFrame, size: int = 400) -> DataFrame:
                 bodies = columns[text].to_pylist()
                 lengths = columns[chars].to_pylist() if chars is not None else []
                 for k in hit.tolist():
-                    bodies[k] = kept_bytes(bodies[k].encode(), merged(spans[k].as_py())).decode(errors="ignore")
+                    body, gone = bodies[k].encode(), merged(spans[k].as_py())
+                    bodies[k] = kept_bytes(body, byte_runs(body, gone) if words else gone).decode(errors="ignore")
                     if chars is not None:
                         lengths[k] = len(bodies[k])
                 columns[text] = pa.array(bodies, columns[text].type)
