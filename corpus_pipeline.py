@@ -26,7 +26,7 @@ from sievelake.llm.suffix_dedup import cut_repeats
 from sievelake.shared import is_written, remove_path, scratch_path, shuffles_freed
 
 NEAR_WORDS, NEAR_PERCENT = 5, 80
-REPEAT_BYTES = 200  # shorter than any passage of 50 words is likely to be
+REPEAT_WORDS = 51  # passages of over 50 words
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return cut_repeats(docs, REPEAT_BYTES)
+    return cut_repeats(docs, words=REPEAT_WORDS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
