@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from test_minhash import brute as near_brute
-from test_suffix_dedup import spans_of
+from test_repeated_words import without_repeats
 
 import __spark_entry__ as entry
 import corpus_pipeline as pipeline
@@ -58,11 +58,10 @@ def test_stages(spark, sf_dir, tmp_path):
                 ids = [r[0] for r in g if r[0] is not None]
                 assert any(after[r] and (r[0] == min(ids) if ids else True) for r in g)
         elif name == "repeated_passages":
-            bodies = [(r[1] or "").encode() for r in before]
+            texts = [r[1] or "" for r in before]
             want = Counter()
-            for r, b, hit in zip(before, bodies, spans_of(bodies, pipeline.REPEAT_BYTES), strict=True):
-                text = bytes(np.frombuffer(b, np.uint8)[~hit]).decode(errors="ignore")
-                want[(r[0], None if r[1] is None else text, r[2], r[3], len(text) if hit.any() else r[4])] += 1
+            for r, t, left in zip(before, texts, without_repeats(texts, pipeline.REPEAT_WORDS), strict=True):
+                want[(r[0], None if r[1] is None else left, r[2], r[3], r[4] if left == t else len(left))] += 1
             assert after == want
         else:
             tokenizers = pytest.importorskip("tokenizers")
