@@ -15,7 +15,7 @@ The suffix array is built only where repeats can be, and in pieces that hold all
 4. What was found goes back to the contexts' places, becomes spans of each document, and the rest is kept.
 
 Strings may be of a number of words instead of bytes: then each word stands in the text as UNIT bytes of its hash, the
-first of which says where a word begins, and strings begin there. What lies between words doesn't count, but goes
+first of which says where a word begins, and strings and q-grams begin there. What lies between words doesn't count, but goes
 with the words around it. Words are told apart by 55 bits, so a string of other words passes for a repeat only
 if it collides in each word that differs. A character of a script that puts no spaces between words is a word.
 
@@ -108,38 +108,38 @@ def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one anchor: row, anchor's hash, first window's start in the row, how many windows, and
-    how far the anchor is from that start."""
-    gram = min(GRAM, size)
+def anchors(data: np.ndarray, offsets: np.ndarray, size: int, step: int = 1) -> tuple[np.ndarray, ...]:
+    """Runs of windows with one anchor: row, anchor's hash, first window's start in the row, how many bytes windows
+    start in, and how far the anchor is from that start. Windows and q-grams start at multiples of `step`."""
+    gram, pace = min(GRAM, size), SEGMENT // step * step
     found: list[tuple[np.ndarray, ...]] = []
-    for begin in range(0, max(len(data) - size + 1, 0), SEGMENT):
-        part = data[begin : begin + SEGMENT + size - 1]
+    for begin in range(0, max(len(data) - size + 1, 0), pace):
+        part = data[begin : begin + pace + size - 1]
         prefix = prefix_hash(BYTE_CODES[part])
-        at = np.arange(len(part) - gram + 1)
+        at = np.arange(0, len(part) - gram + 1, step)
         h = span_hash(prefix, at, at + gram)
         marked = (h >> PLACE_BITS << PLACE_BITS) | at.astype(np.uint64)
-        least = sliding_min(marked, size - gram + 1)
-        row = np.searchsorted(offsets, begin + np.arange(len(least)), side="right") - 1
-        inside = begin + np.arange(len(least)) + size <= offsets[row + 1]
-        start = np.flatnonzero(inside)
+        least = sliding_min(marked, (size - gram) // step + 1)
+        place = begin + step * np.arange(len(least))
+        row = np.searchsorted(offsets, place, side="right") - 1
+        start = np.flatnonzero(place + size <= offsets[row + 1])
         if not len(start):
             continue
         where = (least[start] & np.uint64((1 << 24) - 1)).astype(np.int64)
         new = np.ones(len(start), bool)
         new[1:] = (where[1:] != where[:-1]) | (row[start[1:]] != row[start[:-1]])
         first = np.flatnonzero(new)
-        r = row[start[first]]
-        found.append((r, h[where[first]].view(np.int64), begin + start[first] - offsets[r], np.diff(np.append(first, len(start))), where[first] - start[first]))
+        r, many = row[start[first]], np.diff(np.append(first, len(start)))
+        found.append((r, h[where[first] // step].view(np.int64), place[start[first]] - offsets[r], step * (many - 1) + 1, where[first] - step * start[first]))
     if not found:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _anchor_rows(size: int, form):
+def _anchor_rows(size: int, form, step: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "body"):
-            row, h, start, n, lead = anchors(*form(*flat(b.column("body"))), size)
+            row, h, start, n, lead = anchors(*form(*flat(b.column("body"))), size, step)
             yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(row)), pa.array(h), pa.array(start), pa.array(n), pa.array(lead)], ["key", "gram", "start", "n", "lead"])
 
     return run
@@ -256,8 +256,9 @@ def neighbours_agree(t: np.ndarray, order: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def repeated_windows(contexts: list[bytes], counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of repeated windows: context's number, first window, how many. counts: the places of each context.
+def repeated_windows(contexts: list[bytes], counts: np.ndarray, size: int, step: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of repeated windows: context's number, where the first starts, how many bytes they start in. counts: the
+    places of each context. Windows start at multiples of `step`.
 
     The contexts are all different; a window is repeated if it has an equal in any of them, or if its context
     has several places.
@@ -266,14 +267,14 @@ def repeated_windows(contexts: list[bytes], counts: np.ndarray, size: int) -> tu
     # bytes are raised by one, above the end mark; UTF-8 has no 255
     t = np.frombuffer(b"\xff".join(contexts) + b"\xff", np.uint8) + np.uint8(1)
     start = np.cumsum(lengths + 1) - (lengths + 1)
-    windows = lengths - size + 1
+    windows = (lengths - size) // step + 1
     total = int(windows.sum())
     of = np.repeat(np.arange(len(contexts)), windows)
-    place = np.repeat(start - (np.cumsum(windows) - windows), windows) + np.arange(total)
+    place = np.repeat(start - step * (np.cumsum(windows) - windows), windows) + step * np.arange(total)
     active = np.zeros(len(t), bool)
     active[place] = True
-    # beyond the last window, up to the first place that is smaller than its successor
-    more = start + windows
+    # beyond the last of neighbours, up to the first place that is smaller than its successor
+    more = start + windows if step == 1 else place + 1
     rising = np.flatnonzero(np.r_[t[:-1] < t[1:], True])
     stop = rising[np.searchsorted(rising, more - 1)] + 1
     extra = np.maximum(stop - more, 0)
@@ -290,10 +291,10 @@ def repeated_windows(contexts: list[bytes], counts: np.ndarray, size: int) -> tu
     begins = np.flatnonzero(hit & (edge | ~np.r_[False, hit[:-1]])) if total else np.zeros(0, np.int64)
     ends = np.flatnonzero(hit & np.r_[~hit[1:] | edge[1:], True]) if total else begins
     first = np.cumsum(windows) - windows
-    return of[begins], begins - first[of[begins]], ends - begins + 1
+    return of[begins], step * (begins - first[of[begins]]), step * (ends - begins) + 1
 
 
-def _window_rows(size: int):
+def _window_rows(size: int, step: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, cuts in whole_groups(batches, ["dealt"]):
             lengths = np.diff(flat(b.column("context"))[1])
@@ -305,7 +306,7 @@ def _window_rows(size: int):
                 bodies = part.column("context").dictionary_encode()
                 which = bodies.indices.to_numpy()
                 places = np.bincount(which, np.asarray(part.column("places")), len(bodies.dictionary)).astype(np.int64)
-                text, first, n = repeated_windows(bodies.dictionary.to_pylist(), places, size)
+                text, first, n = repeated_windows(bodies.dictionary.to_pylist(), places, size, step)
                 # a context's runs go to all rows that have it
                 runs = np.bincount(text, minlength=len(bodies.dictionary))
                 base = np.cumsum(runs) - runs
@@ -327,11 +328,12 @@ def repeats(docs: DataFrame, size: int, words: int | None = None) -> DataFrame:
 
     With `words`, repeats are of so many words, and spans are in bytes of word_codes()."""
     spark = docs.sparkSession
-    size, least, form = (UNIT * words, 2 * words - 1, word_codes) if words else (size, size, as_they_are)
+    size, least, form, step = (UNIT * words, 2 * words - 1, word_codes, UNIT) if words else (size, size, as_they_are, 1)
+    whole = PIECE * step
     bounded_batches(spark)
     bodies = keyed(docs)
     mine, theirs = scratch_path(spark, "anchors"), scratch_path(spark, "contexts")
-    anchored = bodies.filter(F.octet_length("body") >= least).mapInArrow(_anchor_rows(size, form), "key binary, gram long, start long, n long, lead long")
+    anchored = bodies.filter(F.octet_length("body") >= least).mapInArrow(_anchor_rows(size, form, step), "key binary, gram long, start long, n long, lead long")
     anchored.write.option("compression", "zstd").parquet(mine)
     found = spark.read.parquet(mine)
     counts = found.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
@@ -345,26 +347,23 @@ def repeats(docs: DataFrame, size: int, words: int | None = None) -> DataFrame:
     hot = checkpointed(places.groupBy("gram").agg(F.approx_count_distinct("digest").alias("m")).filter(F.col("m") > HOT).select("gram", F.lit(True).alias("hot")))
     contexts = places.groupBy("gram", "digest").agg(F.count(F.lit(1)).alias("places"), F.max("context").alias("context"), F.max("n").alias("n"), F.max("lead").alias("lead"))
     contexts = contexts.withColumn("hot", F.lit(False)) if hot.isEmpty() else contexts.join(hot, "gram", "left")
-    # hot contexts are cut where a window's distance from the anchor is a multiple of PIECE, so equal windows are cut alike
-    last, offset = F.col("n") - 1, F.pmod(F.col("lead"), F.lit(PIECE))
-    inner = F.when(offset <= last, F.sequence(offset, last, F.lit(PIECE).cast("long"))).otherwise(F.array().cast("array<long>"))
+    # hot contexts are cut where a window's distance from the anchor is a multiple of a whole run, so equal windows are cut alike
+    last, offset = F.col("n") - 1, F.pmod(F.col("lead"), F.lit(whole))
+    inner = F.when(offset <= last, F.sequence(offset, last, F.lit(whole).cast("long"))).otherwise(F.array().cast("array<long>"))
     skips = F.when(F.col("hot"), F.array_distinct(F.concat(F.array(F.lit(0).cast("long")), inner))).otherwise(F.array(F.lit(0).cast("long")))
     cut = contexts.select("gram", "digest", "places", "context", "n", "lead", "hot", F.explode(skips).alias("skip"))
-    past = F.pmod(F.col("skip") - F.col("lead"), F.lit(PIECE))
-    windows = F.when(F.col("hot"), F.least(PIECE - past, F.col("n") - F.col("skip"))).otherwise(F.col("n"))
+    past = F.pmod(F.col("skip") - F.col("lead"), F.lit(whole))
+    windows = F.when(F.col("hot"), F.least(whole - past, F.col("n") - F.col("skip"))).otherwise(F.col("n"))
     piece = lambda skip, length: F.substring("context", skip.cast("int") + 1, length.cast("int"))
     # the bytes that all windows of a run have in common decide where it goes
-    core = piece(F.col("skip") - past + PIECE - 1, F.lit(size - PIECE + 1)) if size > PIECE else F.lit("").cast("binary")
+    core = piece(F.col("skip") - past + whole - 1, F.lit(size - whole + 1)) if size > whole else F.lit("").cast("binary")
     dealt = F.when(F.col("hot"), F.xxhash64("gram", F.col("skip") - F.col("lead") - past, core)).otherwise(F.xxhash64("gram"))
     rows = cut.select("gram", "digest", "places", "skip", piece(F.col("skip"), windows + size - 1).alias("context"), dealt.alias("dealt"))
     rows = rows.repartition(shuffle_partitions(spark), "dealt").sortWithinPartitions("dealt")
-    told = rows.mapInArrow(_window_rows(size), "gram long, digest binary, first long, windows long")
+    told = rows.mapInArrow(_window_rows(size, step), "gram long, digest binary, first long, windows long")
 
     begin = F.col("start") + F.col("first")
     spans = places.select("key", "gram", "digest", "start").join(told, ["gram", "digest"]).select("key", begin.alias("begin"), (begin + F.col("windows") + size - 1).alias("end"))
-    if words:  # strings that begin with a word
-        whole = spans.select("key", (F.ceil(F.col("begin") / UNIT) * UNIT).alias("begin"), (F.floor((F.col("end") - size) / UNIT) * UNIT + size).alias("end"))
-        spans = whole.filter(F.col("end") - F.col("begin") >= size)
     out = checkpointed(spans.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans")))
     remove_path(spark, mine)
     remove_path(spark, theirs)

@@ -66,7 +66,7 @@ def test_units(seed):
 
 
 @pytest.mark.parametrize("hot", [False, True])
-@pytest.mark.parametrize("words", [1, 5])
+@pytest.mark.parametrize("words", [1, 5, 12])
 def test_repeats_of_words(spark, monkeypatch, words, hot):
     if hot:
         monkeypatch.setattr(m, "HOT", 1)
